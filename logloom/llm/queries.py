@@ -4,19 +4,23 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from logloom.llm import minhash
+from logloom.llm import minhash, suffix
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op3_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.remove_repeats(_read(spark, sf_dir, "documents"), span=200, texts=False)
+
+
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_read(spark, sf_dir, "documents"), width=2, percent=80)
 
 
 def queries() -> dict:
-    return {"op6_minhash": op6_minhash}
+    return {"op3_suffix": op3_suffix, "op6_minhash": op6_minhash}
 
 
 def oracle_sql() -> dict[str, str]:
