@@ -155,8 +155,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     distinct = bench.select("h").distinct()
     wanted, small = None, distinct.count() <= bound
     if small:
-        import pandas as pd  # noqa: F401
-
         wanted = spark.sparkContext.broadcast(np.unique(np.array(distinct.toPandas()["h"], dtype=np.int64).view(K.U)))
     plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id IS NOT NULL")
     hits = plain.mapInArrow(_emit(width, wanted), ROWS).select("id", "h", "k", "v")

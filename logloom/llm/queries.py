@@ -3,14 +3,19 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from logloom.llm import minhash, suffix
+from logloom.llm import decontaminate, html, minhash, mixing, sharding, suffix, vectors
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_read(spark, sf_dir, "documents"), temperature=0.5, seed=17)
+
+
 def op3_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.remove_repeats(_read(spark, sf_dir, "documents"), span=200, texts=False)
 
@@ -19,8 +24,29 @@ def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_read(spark, sf_dir, "documents"), width=2, percent=80)
 
 
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    bad = decontaminate.contaminated(docs, _read(spark, sf_dir, "benchmark"))
+    out = docs.select("doc_id").join(bad, "doc_id", "left")
+    return out.select("doc_id", F.coalesce("items", F.array().cast("array<bigint>")).alias("items"), F.coalesce("share", F.lit(0.0)).alias("share"), F.col("items").isNull().alias("kept"))
+
+
+def op8_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_vectors(_read(spark, sf_dir, "embeddings"), least=0.98)
+
+
+def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(_read(spark, sf_dir, "pages"))
+
+
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document of the committed version with its shard, read back from the shards."""
+    store = sharding.shard(_read(spark, sf_dir, "documents"))
+    return store.read().select("doc_id", "shard", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
+
+
 def queries() -> dict:
-    return {"op3_suffix": op3_suffix, "op6_minhash": op6_minhash}
+    return {f.__name__: f for f in (op2_mixing, op3_suffix, op6_minhash, op7_decontaminate, op8_vectors, op9_html, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
