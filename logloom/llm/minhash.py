@@ -9,8 +9,8 @@ of one collection differ: it is missed with probability at most
 Candidates are verified on full shingle sets. Documents with equal sets are one
 class (a hash aggregate) before any table is built. Within a bucket the smallest
 class is compared with each other member: the members it matches are connected,
-so pairs among them need no test. What it does not match goes on to another round
-without it, and the members at a distance at which the triangle inequality of the
+so pairs among them need no test. What it does not match goes on to rounds of
+``pivots`` such members each, without it, and the members at a distance at which the triangle inequality of the
 Jaccard distance still allows a link to a matched member are compared with those.
 No bucket is expanded into all pairs, sampled or capped.
 
@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 from pyspark.sql import types as T
 
 from logloom.llm import kernels as K
@@ -106,7 +107,7 @@ def _common(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[at] == a).sum())
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, groups: int = 14, rows: int = 3) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, groups: int = 14, rows: int = 3, pivots: int = 64) -> DataFrame:
     """One row a document: ``doc_id, n_shingles, component_id, kept``."""
     spark = docs.sparkSession
     small_batches(spark)
@@ -116,39 +117,36 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     cls = s.save("cls", sig.where("n > 0 AND doc_id IS NOT NULL").groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("rep")))
     reps = sig.join(cls.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").where("n > 0").dropDuplicates(["doc_id"])
     # each class once under each of the groups**2 combined keys; a bucket of one is dropped at once
-    keyed = reps.select("doc_id", "n", F.explode("a").alias("ka"), "b").select("doc_id", "n", "ka", F.explode("b").alias("kb")).select("doc_id", "n", F.xxhash64("ka", "kb").alias("key"))
-    from pyspark.sql import Window as W
-
-    bucket = keyed.withColumn("rep", F.min("doc_id").over(W.partitionBy("key"))).where("rep <> doc_id")
-    live = s.save("b0", bucket.select("key", "rep", F.col("doc_id").alias("id"), "n"))
+    keyed = reps.select("doc_id", F.explode("a").alias("ka"), "b").select("doc_id", "ka", F.explode("b").alias("kb")).select("doc_id", F.xxhash64("ka", "kb").alias("key"))
+    # the first pivot of a bucket is its smallest class
+    live = keyed.withColumn("p", F.min("doc_id").over(W.partitionBy("key"))).where("p <> doc_id")
+    live = s.save("b0", live.select("key", "p", F.col("doc_id").alias("id")))
     s.sweep()
     tested = None
-    turn = 0
-    while True:
-        # the pivot is the smallest class of what is left of a bucket
-        pairs = live.select(F.col("rep").alias("x"), F.col("id").alias("y")).distinct()
+    slack = 1 - percent / 100 + 1e-9  # the distance of a link
+    for turn in range(1 << 30):
+        pairs = live.select(F.col("p").alias("x"), F.col("id").alias("y")).distinct()
         if tested is not None:
             pairs = pairs.join(tested.select("x", "y"), ["x", "y"], "left_anti")
         new = s.save(f"t{turn}", _distances(pairs, plain, width))
         tested = new if tested is None else tested.unionByName(new)
-        far = F.expr(f"100 * both < {percent} * either")
-        scored = s.save(f"s{turn}", live.join(tested.withColumnsRenamed({"x": "rep", "y": "id"}), ["rep", "id"]).select("key", "rep", "id", "n", "both", "either", far.alias("far")))
-        rest = scored.where("far")
+        scored = live.join(tested.withColumnsRenamed({"x": "p", "y": "id"}), ["p", "id"])
+        scored = s.save(f"s{turn}", scored.select("key", "p", "id", (1 - F.col("both") / F.col("either")).alias("d"), F.expr(f"100 * both < {percent} * either").alias("far")))
+        # what no pivot matched goes on without the pivots
+        rest = scored.groupBy("key", "id").agg(F.min("far").alias("far")).where("far").select("key", "id")
+        rest = s.save(f"r{turn}", rest.join(scored.select("key", F.col("p").alias("id")).distinct(), ["key", "id"], "left_anti"))
         if rest.isEmpty():
             break
-        # d(y, p) - d(x, p) > 1 - t rules a link between y and x out; only the others near the pivot's matches are tested
-        slack = 1 - percent / 100 + 1e-9
-        dist = F.expr("1 - both / either")
-        ring = rest.withColumn("d", dist).where(F.col("d") <= 2 * slack).select("key", F.col("rep").alias("p"), F.col("id").alias("ry"), F.col("d").alias("dy"))
-        core = scored.where("NOT far").select("key", F.col("rep").alias("p"), F.col("id").alias("rx"), dist.alias("dx"))
+        # |d(y, p) - d(x, p)| > slack rules a link between y and x out; only others near a pivot's matches are tested
+        ring = scored.where("far").where(F.col("d") <= 2 * slack).select("key", "p", F.col("id").alias("ry"), F.col("d").alias("dy"))
+        core = scored.where("NOT far").select("key", "p", F.col("id").alias("rx"), F.col("d").alias("dx"))
         across = ring.join(core, ["key", "p"]).where(F.abs(F.col("dy") - F.col("dx")) <= slack).select(F.least("rx", "ry").alias("x"), F.greatest("rx", "ry").alias("y")).where("x <> y").distinct()
         across = s.save(f"x{turn}", _distances(across.join(tested.select("x", "y"), ["x", "y"], "left_anti"), plain, width))
         tested = tested.unionByName(across)
-        w = W.partitionBy("key")
-        nxt = s.save(f"b{turn + 1}", rest.select("key", "id", "n").withColumn("rep", F.min("id").over(w)).where("rep <> id").select("key", "rep", "id", "n"))
+        ranked = rest.withColumn("k", F.row_number().over(W.partitionBy("key").orderBy("id")))
+        live = rest.withColumnRenamed("id", "y").join(ranked.where(F.col("k") <= pivots).select("key", F.col("id").alias("p")), "key").where("p < y").select("key", "p", F.col("y").alias("id"))
+        live = s.save(f"b{turn + 1}", live)
         s.drop(f"b{turn}", f"s{turn}")
-        turn += 1
-        live = nxt
         s.sweep()
         if live.isEmpty():
             break

@@ -15,8 +15,11 @@ anchor are a contiguous range of starts, and every window belongs to one anchor.
    by their leading bytes; each partition sorts its window suffixes by multikey
    quicksort (three-way on one 8-byte token after another) and compares neighbours.
    Equal leading bytes stay in one partition, so nothing is split at its boundaries,
-   unless a gram has more than ``hot`` different contexts: those are compared across
-   partitions by two 64-bit window hashes and a map-side combined count.
+   unless a gram has more than ``hot`` different contexts. The windows of those are
+   dealt to blocks of 32, 8 and 1 offsets from the anchor, keyed by all that a block's
+   windows have in common, and judged as in 2: groups fall apart into small ones, which
+   are compared as above, or into equal contexts, which are aggregated. So one string in
+   a third of all documents never meets in one task.
 
 Texts are UTF-8 bytes; null is empty and matches never cross documents. Windows are
 judged on the input. Empty and short texts keep all bytes. Every row is a document, so
@@ -29,6 +32,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -224,40 +228,59 @@ def _contexts(span: int, gram: int):
             start = off[:-1][row] + lo
             size = wins - 1 + span
 
-            def slices(start, size, kind):
-                o = np.zeros(len(start) + 1, dtype=np.int64)
-                np.cumsum(size, out=o[1:])
-                idx = np.repeat(start - o[:-1], size) + np.arange(o[-1])
-                return pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(o), pa.py_buffer(buf[idx].tobytes())]).cast(kind)
-
             for i in range(0, len(lo), 4096):
                 p = slice(i, i + 4096)
                 k = len(lo[p])
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).take(pa.array(row[p])), flat.field("lo").slice(i, k), flat.field("wins").slice(i, k), flat.field("off").slice(i, k), flat.field("h").slice(i, k), flat.field("want").slice(i, k), flat.field("hot").slice(i, k),
-                     slices((start + at)[p], np.full(k, gram), pa.binary()), slices(start[p], size[p], pa.binary())],
+                     _slices(buf, (start + at)[p], np.full(k, gram)), _slices(buf, start[p], size[p])],
                     names=["doc_id", "lo", "wins", "off", "h", "want", "hot", "lead", "ctx"],
                 )
 
     return run
 
 
-def _window_hashes(span: int):
+ROWS = "doc_id long, lo long, wins int, off int, h long, f long, want boolean, lead binary, ctx binary"
+
+
+def _split(span: int, width: int, gram: int):
+    """mapInArrow over contexts: the same windows in blocks of ``width`` offsets from the anchor.
+
+    The new gram is what all windows of a block have in common, ``span - width + 1`` bytes.
+    """
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for i in range(0, len(whole), 512):
-                batch = whole.slice(i, 512)
-                buf, off = K.texts(batch.column(3))
-                wins = batch.column(2).to_numpy().astype(np.int64)
-                row = np.repeat(np.arange(len(wins)), wins)
-                k = np.arange(len(row)) - np.repeat(np.cumsum(wins) - wins, wins)
-                start = off[:-1][row] + k
-                out = [K.range_hash(K.prefix(buf, b), start, start + span, b).view(np.int64) for b in (K.BASE, K.BASE2)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(batch.column(1).to_numpy()[row] + k), batch.column(4).take(pa.array(row)), *map(pa.array, out)], names=["doc_id", "s", "want", "k1", "k2"])
+        for batch in batches:
+            buf, at = K.texts(batch.column(6))
+            lo, wins, off, h = (batch.column(i).to_numpy().astype(np.int64) for i in (1, 2, 3, 4))
+            first, last = (off - wins + 1) // width, off // width
+            n = last - first + 1
+            row = np.repeat(np.arange(len(n)), n)
+            block = first[row] + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+            j1 = np.minimum(off[row], block * width + width - 1)
+            j0 = np.maximum(off[row] - wins[row] + 1, block * width)
+            start = at[:-1][row] + off[row] - j1
+            core = at[:-1][row] + off[row] - block * width
+            sums = K.prefix(buf)
+            key = K.mix(K.range_hash(sums, core, core + span - width + 1) + K.mix(h[row].view(K.U) * K.U(K.BASE2) + block.astype(K.U)))
+            size = j1 - j0 + span
+            f = K.range_hash(sums, start, start + size) ^ K.mix(j1.astype(K.U) * K.U(K.BASE2) + (j1 - j0).astype(K.U))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array(row)), pa.array(lo[row] + off[row] - j1), pa.array((j1 - j0 + 1).astype(np.int32)), pa.array(j1.astype(np.int32)), pa.array(key.view(np.int64)), pa.array(f.view(np.int64)), batch.column(5).take(pa.array(row)),
+                 _slices(buf, core, np.full(len(row), gram)), _slices(buf, start, size)],
+                names=["doc_id", "lo", "wins", "off", "h", "f", "want", "lead", "ctx"],
+            )
 
     return run
 
 
+def _slices(buf: np.ndarray, start: np.ndarray, size: np.ndarray) -> pa.Array:
+    o = np.zeros(len(start) + 1, dtype=np.int64)
+    np.cumsum(size, out=o[1:])
+    idx = np.repeat(start - o[:-1], size) + np.arange(o[-1])
+    return pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(o), pa.py_buffer(buf[idx].tobytes())]).cast(pa.binary())
+
+
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, text, spans) to the digest and the remaining bytes."""
     for batch in batches:
@@ -284,6 +307,17 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
 
 
+def _judge(rows: DataFrame, s: Scratch, tag: str, span: int, hot: int) -> tuple[DataFrame, DataFrame]:
+    """Ranges settled by equal contexts, and the rows of grams that occur in different contexts."""
+    ctx = s.save(f"classes{tag}", rows.groupBy("h", "f").agg(F.count("*").alias("nf"), F.min("doc_id").alias("one")))
+    kinds = s.save(f"kinds{tag}", ctx.groupBy("h").agg(F.count("*").alias("nc"), F.sum("nf").alias("nh")).where("nh > 1"))
+    j = s.save(f"judged{tag}", rows.join(ctx, ["h", "f"]).join(kinds, "h").drop("f", "nh"))
+    s.drop(f"classes{tag}", f"kinds{tag}")
+    settled = j.where("nf > 1").select("doc_id", F.col("lo").alias("s"), (F.col("lo") + F.col("wins") - 1 + span).alias("e"))
+    left = j.where("nc > 1 AND (nf = 1 OR doc_id = one)").withColumn("want", F.col("want") & (F.col("nf") == 1)).withColumn("hot", F.col("nc") > hot)
+    return settled, left.drop("nf", "one", "nc")
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = 200, gram: int = 64, hot: int = 256, texts: bool = True) -> DataFrame:
     """One row a document; ``kept`` (the remaining bytes) only with ``texts``."""
     spark = docs.sparkSession
@@ -296,25 +330,29 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     grams = s.save("grams", a.groupBy("h").count().where("count > 1").select("h"))
     b = s.save("repeated", a.join(grams, "h"))
     s.sweep()
-    ctx = b.groupBy("h", "f").agg(F.count("*").alias("nf"), F.min("doc_id").alias("one"))
-    ctx = s.save("classes", ctx)
-    kinds = s.save("kinds", ctx.groupBy("h").agg(F.count("*").alias("nc")))
-    c = s.save("judged", b.join(ctx, ["h", "f"]).join(kinds, "h").select("doc_id", "lo", "wins", "off", "h", "nf", "nc", (F.col("doc_id") == F.col("one")).alias("first")))
-    s.drop("repeated", "classes", "kinds", "grams")
-    settled = c.where("nf > 1").select("doc_id", F.col("lo").alias("s"), (F.col("lo") + F.col("wins") - 1 + span).alias("e"))
-    open_ = c.where("nc > 1 AND (nf = 1 OR first)").select("doc_id", F.struct("lo", "wins", "off", "h", (F.col("nf") == 1).alias("want"), (F.col("nc") > hot).alias("hot")).alias("x"))
+    settled, open_ = _judge(b.withColumn("want", F.lit(True)), s, "0", span, hot)
+    s.drop("repeated", "grams")
+    spans = [settled]
+    open_ = open_.select("doc_id", F.struct("lo", "wins", "off", "h", "want", "hot").alias("x"))
     lists = open_.groupBy("doc_id").agg(F.collect_list("x").alias("x"))
     taken = lists.join(plain, "doc_id").select("doc_id", "text", "x").mapInArrow(_contexts(span, gram), "doc_id long, lo long, wins int, off int, h long, want boolean, hot boolean, lead binary, ctx binary")
     taken = s.save("contexts", taken)
     s.sweep()
-    cold = taken.where("NOT hot").repartitionByRange(partitions(spark), "lead").sortWithinPartitions("lead", "h")
-    found = s.save("found", cold.mapInArrow(_compare(span), "doc_id long, s long, e long"))
-    wide = s.save("wide", taken.where("hot").select("doc_id", "lo", "wins", "ctx", "want").mapInArrow(_window_hashes(span), "doc_id long, s long, want boolean, k1 long, k2 long"))
-    twice = s.save("twice", wide.groupBy("k1", "k2").count().where("count > 1").select("k1", "k2"))
-    across = wide.where("want").join(twice, ["k1", "k2"]).select("doc_id", "s", (F.col("s") + span).alias("e"))
-    spans = settled.unionByName(found).unionByName(across)
+    few, many = [taken.where("NOT hot")], taken.where("hot")
+    for width in (32, 8, 1):
+        if many.isEmpty():
+            break
+        parts = s.save(f"parts{width}", many.select("doc_id", "lo", "wins", "off", "h", "want", "ctx").mapInArrow(_split(span, width, gram), ROWS))
+        settled, open_ = _judge(parts, s, str(width), span, hot)
+        spans.append(settled)
+        few.append(open_.where("NOT hot"))
+        many = open_.where("hot")
+    cold = reduce(DataFrame.unionByName, [x.select("doc_id", "lo", "wins", "off", "h", "want", "lead", "ctx") for x in few])
+    cold = cold.repartitionByRange(partitions(spark), "lead").sortWithinPartitions("lead", "h")
+    spans.append(s.save("found", cold.mapInArrow(_compare(span), "doc_id long, s long, e long")))
+    spans = reduce(DataFrame.unionByName, spans)
     spans = s.save("spans", spans.groupBy("doc_id").agg(F.collect_list(F.struct("s", "e")).alias("spans")))
-    s.drop("contexts", "wide", "judged", "found")
+    s.drop("contexts", "found")
     s.sweep()
     changed = plain.join(spans, "doc_id").select("doc_id", "text", "spans").mapInArrow(_remove, OUT)
     if texts:

@@ -46,8 +46,9 @@ def test_matches_brute_force(spark):
     rows = corpus()
     want = brute(rows, 200)
     assert run(spark, rows, span=200, texts=False) == want
-    # every gram goes to the route for hot grams
+    # all grams, or those with more than three contexts, go through the blocks of offsets
     assert run(spark, rows, span=200, hot=0) == want
+    assert run(spark, rows, span=200, hot=3, texts=False) == want
 
 
 def test_small_documents(spark):
