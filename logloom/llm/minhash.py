@@ -27,10 +27,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 from pyspark.sql import types as T
 
 from logloom.llm import kernels as K
+from logloom.llm.buckets import link, star
 from logloom.llm.components import components
 from logloom.llm.scratch import Scratch, small_batches
 
@@ -118,38 +118,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     reps = sig.join(cls.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").where("n > 0").dropDuplicates(["doc_id"])
     # each class once under each of the groups**2 combined keys; a bucket of one is dropped at once
     keyed = reps.select("doc_id", F.explode("a").alias("ka"), "b").select("doc_id", "ka", F.explode("b").alias("kb")).select("doc_id", F.xxhash64("ka", "kb").alias("key"))
-    # the first pivot of a bucket is its smallest class
-    live = keyed.withColumn("p", F.min("doc_id").over(W.partitionBy("key"))).where("p <> doc_id")
-    live = s.save("b0", live.select("key", "p", F.col("doc_id").alias("id")))
-    s.sweep()
-    tested = None
-    slack = 1 - percent / 100 + 1e-9  # the distance of a link
-    for turn in range(1 << 30):
-        pairs = live.select(F.col("p").alias("x"), F.col("id").alias("y")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested.select("x", "y"), ["x", "y"], "left_anti")
-        new = s.save(f"t{turn}", _distances(pairs, plain, width))
-        tested = new if tested is None else tested.unionByName(new)
-        scored = live.join(tested.withColumnsRenamed({"x": "p", "y": "id"}), ["p", "id"])
-        scored = s.save(f"s{turn}", scored.select("key", "p", "id", (1 - F.col("both") / F.col("either")).alias("d"), F.expr(f"100 * both < {percent} * either").alias("far")))
-        # what no pivot matched goes on without the pivots
-        rest = scored.groupBy("key", "id").agg(F.min("far").alias("far")).where("far").select("key", "id")
-        rest = s.save(f"r{turn}", rest.join(scored.select("key", F.col("p").alias("id")).distinct(), ["key", "id"], "left_anti"))
-        if rest.isEmpty():
-            break
-        # |d(y, p) - d(x, p)| > slack rules a link between y and x out; only others near a pivot's matches are tested
-        ring = scored.where("far").where(F.col("d") <= 2 * slack).select("key", "p", F.col("id").alias("ry"), F.col("d").alias("dy"))
-        core = scored.where("NOT far").select("key", "p", F.col("id").alias("rx"), F.col("d").alias("dx"))
-        across = ring.join(core, ["key", "p"]).where(F.abs(F.col("dy") - F.col("dx")) <= slack).select(F.least("rx", "ry").alias("x"), F.greatest("rx", "ry").alias("y")).where("x <> y").distinct()
-        across = s.save(f"x{turn}", _distances(across.join(tested.select("x", "y"), ["x", "y"], "left_anti"), plain, width))
-        tested = tested.unionByName(across)
-        ranked = rest.withColumn("k", F.row_number().over(W.partitionBy("key").orderBy("id")))
-        live = rest.withColumnRenamed("id", "y").join(ranked.where(F.col("k") <= pivots).select("key", F.col("id").alias("p")), "key").where("p < y").select("key", "p", F.col("y").alias("id"))
-        live = s.save(f"b{turn + 1}", live)
-        s.drop(f"b{turn}", f"s{turn}")
-        s.sweep()
-        if live.isEmpty():
-            break
+    tested = link(star(keyed), lambda pairs: _distances(pairs, plain, width), s, percent, pivots)
     edges = tested.where(f"100 * both >= {percent} * either").select("x", "y")
     comp = components(edges, s)
     named = s.save("named", cls.join(comp, cls["rep"] == comp["node"], "left").select("n", "h1", "h2", F.coalesce("component", "rep").alias("component")))

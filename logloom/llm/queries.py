@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logloom.llm import decontaminate, html, langid, license, minhash, mixing, sharding, suffix, vectors
+from logloom.llm import decontaminate, html, langid, license, lines, minhash, mixing, sharding, suffix, vectors
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -25,6 +25,11 @@ def op3_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.remove_repeats(_read(spark, sf_dir, "documents"), span=200, texts=False)
 
 
+def op4_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = lines.dedup_lines(_read(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.encode("kept", "UTF-8"), 256).alias("kept_sha256"))
+
+
 MARKUP = r"(?is)<(script|style)\b[^>]*>.*?</\1\s*>|<!--.*?-->|<[^>]*>"
 
 
@@ -66,7 +71,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_license, op2_mixing, op3_suffix, op5_langid, op6_minhash, op7_decontaminate, op8_vectors, op9_html, op10_sharding)}
+    return {f.__name__: f for f in (op1_license, op2_mixing, op3_suffix, op4_lines, op5_langid, op6_minhash, op7_decontaminate, op8_vectors, op9_html, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
