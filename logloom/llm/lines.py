@@ -28,42 +28,57 @@ from logloom.llm.scratch import Scratch
 BLANKS = " \t\r"
 
 
-def _shingles(wide: str, width: int) -> F.Column:
-    """Hashes of the shingles of a UTF-32 column, one for each position."""
-    return F.expr(f"transform(sequence(0, greatest(octet_length({wide}) div 4 - {width}, 0)), i -> xxhash64(substring({wide}, 4 * i + 1, {4 * width})))")
-
-
-def _signatures(cls: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
-    """``h1, h2, keys``: the band keys of each class, without an exchange of its own."""
-    wide = cls.select("h1", "h2", F.encode("line", "UTF-32").alias("u"))
-    each = wide.select("h1", "h2", "u", F.explode(F.expr(f"sequence(0, greatest(octet_length(u) div 4 - {width}, 0))")).alias("i"))
-    hashed = each.select("h1", "h2", F.expr(f"xxhash64(substring(u, 4 * i + 1, {4 * width})) & 2147483647").alias("h"))
-    # odd multipliers permute the 31-bit hashes; the products stay under 2**62
-    odd = [(0x9E3779B97F4A7C15 * (2 * j + 1) + 0x632BE59BD9B4E019 * j * (j + 1)) >> 20 & 0x7FFFFFFF | 1 for j in range(bands * rows)]
-    mins = hashed.groupBy("h1", "h2").agg(*[F.min(F.expr(f"h * {a}L & 2147483647")).alias(f"m{j}") for j, a in enumerate(odd)])
-    return mins.select("h1", "h2", F.array(*[F.xxhash64(F.lit(b), *[F.col(f"m{b * rows + r}") for r in range(rows)]) for b in range(bands)]).alias("keys"))
+def _shingles(line: str, width: int) -> F.Column:
+    """The shingles of a line as strings, by one pattern (a lambda over positions takes 15 times as long)."""
+    cut = F.regexp_extract_all(line, F.lit(rf"(?s)(?![\x{{DC00}}-\x{{DFFF}}])(?=(.{{{width}}}))"), F.lit(1))
+    return F.when(F.length(line) < width, F.array(line)).otherwise(cut)
+
+
+def _signatures(cls: DataFrame, width: int, bands: int, rows: int, full: int = 64, reach: int = 8) -> DataFrame:
+    """``h1, h2, keys``: the band keys of each class, without an exchange of its own.
+
+    A line of ``full * 2**t`` shingles or more is in tier t, where the shingles whose hash
+    ends in t zero bits are its sample; up to a quarter above that it is in tier t - 1 too,
+    so two lines whose sizes allow a similarity of 0.8 share a tier. One permutation: the
+    hash picks one of ``bands * rows`` bins and competes there only. An empty bin takes the
+    value of the next full one among ``reach``, else the line's first.
+    """
+    m = bands * rows
+    wide = cls.select("h1", "h2", F.encode("f.line", "UTF-32").alias("u")).withColumn("n", F.expr(f"greatest(octet_length(u) div 4 - {width} + 1, 1)"))
+    tier = F.expr(f"greatest(cast(floor(log2(n / {full}D)) as int), 0)")
+    tiers = wide.withColumn("t", tier).withColumn("t", F.explode(F.expr(f"if(t > 0 and n <= {full} * 1.25D * shiftleft(1, t), array(t, t - 1), array(t))")))
+    each = tiers.select("h1", "h2", "t", F.expr("shiftleft(1L, t) - 1").alias("mask"), "u", F.explode(F.expr("sequence(0, n - 1)")).alias("i"))
+    hashed = each.select("h1", "h2", "t", "mask", F.expr(f"xxhash64(substring(u, 4 * i + 1, {4 * width}))").alias("v")).where("v & mask = 0")
+    binned = hashed.groupBy("h1", "h2", "t", F.expr(f"cast((shiftrightunsigned(v, 32)) % {m} as int)").alias("bin")).agg(F.min("v").alias("v"))
+    one = binned.groupBy("h1", "h2", "t").agg(*[F.min(F.expr(f"if(bin = {j}, v, null)")).alias(f"m{j}") for j in range(m)])
+    first = F.coalesce(*[F.col(f"m{j}") for j in range(m)])
+    filled = one.select("h1", "h2", "t", first.alias("w"), *[F.coalesce(*[F.col(f"m{(j + k) % m}") for k in range(reach)]).alias(f"d{j}") for j in range(m)])
+    keys = filled.select("h1", "h2", F.array(*[F.xxhash64(F.lit(b), "t", *[F.coalesce(f"d{b * rows + r}", "w") for r in range(rows)]) for b in range(bands)]).alias("keys"))
+    return keys.groupBy("h1", "h2").agg(F.flatten(F.collect_list("keys")).alias("keys"))
 
 
 def _distances(cls: DataFrame, width: int):
-    t = cls.select("id", F.encode("line", "UTF-32").alias("u"))
+    t = cls.select("id", "line")
 
     def run(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(t.select(F.col("id").alias("y"), F.col("u").alias("uy")), "y").join(t.select(F.col("id").alias("x"), F.col("u").alias("ux")), "x")
-        sets = both.select("x", "y", F.array_distinct(_shingles("ux", width)).alias("a"), F.array_distinct(_shingles("uy", width)).alias("b"))
+        both = pairs.join(t.select(F.col("id").alias("y"), F.col("line").alias("ly")), "y").join(t.select(F.col("id").alias("x"), F.col("line").alias("lx")), "x")
+        sets = both.select("x", "y", F.array_distinct(_shingles("lx", width)).alias("a"), F.array_distinct(_shingles("ly", width)).alias("b"))
         n = sets.select("x", "y", F.size(F.array_intersect("a", "b")).cast("long").alias("both"), (F.size("a") + F.size("b")).cast("long").alias("total"))
         return n.select("x", "y", "both", (F.col("total") - F.col("both")).alias("either"))
 
     return run
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 8, percent: int = 80, bands: int = 14, rows: int = 4) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 8, percent: int = 80, bands: int = 12, rows: int = 4) -> DataFrame:
     """One row a row of ``docs``: ``doc_id, n_lines, n_removed, kept`` (the remaining text)."""
     s = Scratch(docs.sparkSession, "lines")
     plain = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
     line = plain.select("doc_id", "th", F.posexplode(F.split("text", "\n")).alias("pos", "line")).withColumn("line", F.trim("line", F.lit(BLANKS))).where("line <> ''")
-    line = line.select(F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(7), "line").alias("h2"), F.struct("doc_id", "th", "pos").alias("first"), "line")
-    cls = line.groupBy("h1", "h2").agg(F.min("first").alias("first"), F.min("line").alias("line"))
-    cls = s.save("cls", cls.join(_signatures(cls, width, bands, rows), ["h1", "h2"]).drop("h1", "h2").withColumn("id", F.monotonically_increasing_id()))
+    # one aggregate of one column, so that both uses of it are the same exchange
+    line = line.select(F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(7), "line").alias("h2"), F.struct("doc_id", "th", "pos", "line").alias("f"))
+    cls = line.groupBy("h1", "h2").agg(F.min("f").alias("f"))
+    cls = cls.join(_signatures(cls, width, bands, rows), ["h1", "h2"], "left").select(F.struct("f.doc_id", "f.th", "f.pos").alias("first"), "f.line", "keys", F.monotonically_increasing_id().alias("id"))
+    cls = s.save("cls", cls)
     s.sweep()
     live = s.save("live", star(cls.select("id", F.explode("keys").alias("key")), "id"))
     s.sweep()
