@@ -8,51 +8,57 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from logloom.llm.components import components
 from logloom.llm.scratch import Scratch
 
+#: Pivots of a bucket in the rounds after the first; the last holds from there on.
+PIVOTS = (4, 16, 64)
+
 
 def star(keyed: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """``key, p, id``: each member beside the smallest of its bucket; buckets of one vanish."""
-    return keyed.withColumn("p", F.min(id_col).over(W.partitionBy("key"))).where(f"p <> {id_col}").select("key", "p", F.col(id_col).alias("id"))
+    """``key, p, id``: each member beside one of its bucket; buckets of one vanish.
+
+    The pivot is the member next to the key by exclusive or: another one in every bucket,
+    so the buckets of a group of copies look at it from many sides.
+    """
+    p = F.min(F.col(id_col).bitwiseXOR(F.col("key"))).over(W.partitionBy("key")).bitwiseXOR(F.col("key"))
+    return keyed.select("key", F.col(id_col).alias("id"), p.alias("p")).where("p <> id").select("key", "p", "id")
 
 
-def link(live: DataFrame, distances: Callable[[DataFrame], DataFrame], s: Scratch, percent: int, pivots: int = 64) -> DataFrame:
-    """Verified pairs ``x, y, both, either`` whose links join all that some bucket can join.
+def link(live: DataFrame, distances: Callable[[DataFrame], DataFrame], s: Scratch, percent: int) -> DataFrame:
+    """``node, component`` of all that is linked, from the stars of the buckets.
 
-    ``distances`` gives the sizes of the intersection and union of each pair (x, y).
-    A member that its pivot matches is connected, so pairs among such members need no
-    test. The rest goes on to rounds of ``pivots`` members as pivots; and the members near enough to a
-    pivot for the triangle inequality of the Jaccard distance to allow a link to one of
-    its matches are compared with those.
+    ``distances`` gives the sizes of the intersection and union of each pair (x, y). A round
+    tests a bucket's pivots against its members in other components, joins components by
+    the links found, and takes the pivots out, which have met all they can be linked with. A
+    bucket within one component is done. Pivots come from a bucket's smallest components, so
+    a few outliers of a large group cost a pass each, and no pair is tested twice.
     """
     live = s.save("b0", live)
     s.sweep()
-    tested = None
-    slack = 1 - percent / 100 + 1e-9  # the distance of a link
-    for turn in range(1 << 30):
-        pairs = live.select(F.col("p").alias("x"), F.col("id").alias("y")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested.select("x", "y"), ["x", "y"], "left_anti")
+    members = live.select("key", "id").distinct()
+    pairs = live.select(F.least("p", "id").alias("x"), F.greatest("p", "id").alias("y")).distinct()
+    tested, comp = None, None
+    turn = 0
+    while True:
         new = s.save(f"t{turn}", distances(pairs))
         tested = new if tested is None else tested.unionByName(new)
-        scored = live.join(tested.withColumnsRenamed({"x": "p", "y": "id"}), ["p", "id"])
-        scored = s.save(f"s{turn}", scored.select("key", "p", "id", (1 - F.col("both") / F.col("either")).alias("d"), F.expr(f"100 * both < {percent} * either").alias("far")))
-        # what no pivot matched goes on without the pivots
-        rest = scored.groupBy("key", "id").agg(F.min("far").alias("far")).where("far").select("key", "id")
-        rest = s.save(f"r{turn}", rest.join(scored.select("key", F.col("p").alias("id")).distinct(), ["key", "id"], "left_anti"))
-        if rest.isEmpty():
-            break
-        # |d(y, p) - d(x, p)| > slack rules a link between y and x out; only others near a pivot's matches are tested
-        ring = scored.where("far").where(F.col("d") <= 2 * slack).select("key", "p", F.col("id").alias("ry"), F.col("d").alias("dy"))
-        core = scored.where("NOT far").select("key", "p", F.col("id").alias("rx"), F.col("d").alias("dx"))
-        across = ring.join(core, ["key", "p"]).where(F.abs(F.col("dy") - F.col("dx")) <= slack).select(F.least("rx", "ry").alias("x"), F.greatest("rx", "ry").alias("y")).where("x <> y").distinct()
-        across = s.save(f"x{turn}", distances(across.join(tested.select("x", "y"), ["x", "y"], "left_anti")))
-        tested = tested.unionByName(across)
-        ranked = rest.withColumn("k", F.row_number().over(W.partitionBy("key").orderBy("id")))
-        live = rest.withColumnRenamed("id", "y").join(ranked.where(F.col("k") <= pivots).select("key", F.col("id").alias("p")), "key").where("p < y").select("key", "p", F.col("y").alias("id"))
-        live = s.save(f"b{turn + 1}", live)
-        s.drop(f"b{turn}", f"s{turn}")
+        if comp is None or not new.where(f"100 * both >= {percent} * either").isEmpty():
+            comp = components(tested.where(f"100 * both >= {percent} * either").select("x", "y"), s, f"cc{turn}")
+        named = members.join(comp.withColumnRenamed("node", "id"), "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
+        split = named.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
+        named = s.save(f"m{turn}", named.join(split, "key", "left_semi"))
+        if turn:
+            s.drop(f"m{turn - 1}")
         s.sweep()
-        if live.isEmpty():
-            break
-    return tested
+        if named.isEmpty():
+            return comp
+        # smallest components first; sizes are map-side combined counts
+        sizes = named.groupBy("key", "c").agg(F.count("*").alias("n"))
+        order = W.partitionBy("key").orderBy("n", F.xxhash64("id"))
+        ranked = named.join(sizes, ["key", "c"]).withColumn("k", F.row_number().over(order)).where(F.col("k") <= PIVOTS[min(turn, len(PIVOTS) - 1)])
+        pivots = s.save(f"p{turn}", ranked.select("key", F.col("id").alias("p"), F.col("c").alias("pc")))
+        met = named.join(pivots, "key").where("c <> pc").select(F.least("p", "id").alias("x"), F.greatest("p", "id").alias("y")).distinct()
+        pairs = met.join(tested.select("x", "y"), ["x", "y"], "left_anti")
+        members = named.select("key", "id").join(pivots.select("key", F.col("p").alias("id")), ["key", "id"], "left_anti")
+        turn += 1

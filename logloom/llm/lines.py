@@ -22,7 +22,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logloom.llm.buckets import link, star
-from logloom.llm.components import components
 from logloom.llm.scratch import Scratch
 
 BLANKS = " \t\r"
@@ -85,8 +84,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ids = live.select("id").union(live.select("p")).distinct()
     near = s.save("near", cls.select("id", "line").join(ids, "id", "left_semi"))
     s.sweep()
-    tested = link(live, _distances(near, width), s, percent)
-    comp = components(tested.where(f"100 * both >= {percent} * either").select("x", "y"), s)
+    comp = link(live, _distances(near, width), s, percent)
     # all classes of a component but the one whose first line comes first
     named = cls.select("id", "first").join(comp.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     kept = named.groupBy("component").agg(F.min("first").alias("first")).select("first.*")

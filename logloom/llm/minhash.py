@@ -4,15 +4,12 @@ Two collections of ``groups`` keys, each key the mix of ``rows`` minhashes, are
 combined pairwise: ``groups**2`` table keys of ``2*rows`` minhashes each out of
 ``2*groups*rows`` minhashes. A pair of similarity s shares a table unless all keys
 of one collection differ: it is missed with probability at most
-``2*(1-s**rows)**groups`` (9e-5 at s = 0.8 with the defaults, 4e-8 at 0.9).
+``2*(1-s**rows)**groups`` (1e-3 at s = 0.8 with the defaults, 6e-5 at 0.85, 6e-7 at 0.9).
 
 Candidates are verified on full shingle sets. Documents with equal sets are one
-class (a hash aggregate) before any table is built. Within a bucket the smallest
-class is compared with each other member: the members it matches are connected,
-so pairs among them need no test. What it does not match goes on to rounds of
-``pivots`` such members each, without it, and the members at a distance at which the triangle inequality of the
-Jaccard distance still allows a link to a matched member are compared with those.
-No bucket is expanded into all pairs, sampled or capped.
+class (a hash aggregate) before any table is built. A bucket's members are compared with
+pivots, not with each other, and only across components (see ``buckets.link``); no bucket
+is expanded into all pairs, sampled or capped.
 
 Edge cases: null text is empty; a text without words has no shingles, is linked with
 nothing and kept; a null id takes its component from equal texts and is kept; repeated rows of one
@@ -31,7 +28,6 @@ from pyspark.sql import types as T
 
 from logloom.llm import kernels as K
 from logloom.llm.buckets import link, star
-from logloom.llm.components import components
 from logloom.llm.scratch import Scratch, small_batches
 
 SIGNED = np.int64
@@ -107,7 +103,7 @@ def _common(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[at] == a).sum())
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, groups: int = 14, rows: int = 3, pivots: int = 64) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, groups: int = 14, rows: int = 4) -> DataFrame:
     """One row a document: ``doc_id, n_shingles, component_id, kept``."""
     spark = docs.sparkSession
     small_batches(spark)
@@ -118,9 +114,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     reps = sig.join(cls.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").where("n > 0").dropDuplicates(["doc_id"])
     # each class once under each of the groups**2 combined keys; a bucket of one is dropped at once
     keyed = reps.select("doc_id", F.explode("a").alias("ka"), "b").select("doc_id", "ka", F.explode("b").alias("kb")).select("doc_id", F.xxhash64("ka", "kb").alias("key"))
-    tested = link(star(keyed), lambda pairs: _distances(pairs, plain, width), s, percent, pivots)
-    edges = tested.where(f"100 * both >= {percent} * either").select("x", "y")
-    comp = components(edges, s)
+    live = s.save("live", star(keyed))
+    s.sweep()
+    ids = live.select(F.col("id").alias("doc_id")).union(live.select("p")).distinct()
+    near = s.save("near", plain.join(ids, "doc_id", "left_semi"))
+    s.sweep()
+    comp = link(live, lambda pairs: _distances(pairs, near, width), s, percent)
     named = s.save("named", cls.join(comp, cls["rep"] == comp["node"], "left").select("n", "h1", "h2", F.coalesce("component", "rep").alias("component")))
     out = sig.join(named, ["n", "h1", "h2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
