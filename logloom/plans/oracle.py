@@ -105,8 +105,8 @@ ORACLE = {
     "where_filter": "SELECT lang, source, count(*) AS n FROM documents WHERE (lang IN ('fr', 'de') OR (source IS DISTINCT FROM 'web' AND lang = 'en')) AND (lang NOT IN ('es') OR lang IS NULL) GROUP BY ALL",
     "block_decision": EVENTS + DECIDED.format(allow="true") + "SELECT seq, source_ip, why IS NULL AS allowed, coalesce(why, rule) AS reason FROM c",
     "block_plan": EVENTS + DECIDED.format(allow="false") + ", k AS (SELECT * FROM c WHERE why IS NULL ORDER BY seq LIMIT 8) SELECT min(seq) AS seq, source_ip FROM k WHERE source_ip <> '203.0.113.1' GROUP BY source_ip ORDER BY 1 LIMIT 5",
-    "probe_stats": """WITH e AS (SELECT 'probe' || user_id % 7 AS probe, 'probe' || user_id % 5 AS host, epoch_us(ts) AS at, length(props) AS b FROM events)
-        SELECT probe, sum((host = probe)::INT)::BIGINT AS events, sum((host <> probe)::INT)::BIGINT AS rejected, sum(b)::BIGINT AS bytes, min(at) AS first_seen, max(at) AS last_seen FROM e WHERE probe <> 'probe3' GROUP BY probe""",
+    "probe_stats": """WITH e AS (SELECT 'probe' || user_id % 7 AS probe, 'probe' || user_id % 5 AS host, epoch_us(ts) AS us, length(props) AS b FROM events)
+        SELECT probe, sum(CASE WHEN host = probe THEN 1 ELSE 0 END)::BIGINT AS events, sum(CASE WHEN host <> probe THEN 1 ELSE 0 END)::BIGINT AS rejected, sum(b)::BIGINT AS bytes, min(us) AS first_seen, max(us) AS last_seen FROM e WHERE probe <> 'probe3' GROUP BY probe""",
     "pii_mask": r"""WITH t AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), a AS (SELECT doc_id, regexp_replace(t, '[\pL\pN_.+-]+@[\pL\pN_-]+\.[\pL\pN_.-]*[\pL\pN_]', 'EMAIL', 'g') AS t FROM t),
         b AS (SELECT doc_id, regexp_replace(regexp_replace(t, '\b(?:[0-9a-fA-F]{2}:){5}[0-9a-fA-F]{2}\b', 'MAC', 'g'), '\b127(?:\.\d{1,3}){3}\b', 'IP_LOOPBACK', 'g') AS t FROM a)
         SELECT doc_id, sha256(regexp_replace(t, '\b(?:10(?:\.\d{1,3}){3}|172\.(?:1[6-9]|2\d|3[01])(?:\.\d{1,3}){2}|192\.168(?:\.\d{1,3}){2}|169\.254(?:\.\d{1,3}){2})\b', 'IP_PRIVATE', 'g')) AS masked FROM b""",
