@@ -91,7 +91,7 @@ class ShardStore:
         seq = F.conv(F.substring(F.md5(key), 1, 13), 16, 10).cast("long") % F.lit(n)
         rows = docs.drop("shard", "arrival").withColumn("arrival", seq)
         rows = rows.repartition(F.col("arrival")).withColumn("shard", F.format_string(f"v{v}-%06d", "arrival"))
-        rows.write.partitionBy("shard").parquet(f"{self.root}/data/v{v}")
+        rows.write.option("compression", "zstd").partitionBy("shard").parquet(f"{self.root}/data/v{v}")
         written = self.spark.read.schema(rows.schema).parquet(f"{self.root}/data/v{v}")
         made = written.groupBy("shard").agg(F.count("*").alias("n_docs"), F.sum(size).alias("n_bytes"), F.min("arrival").alias("seq"))
         made = made.withColumn("tier", F.lit(0)).withColumn("path", F.lit(f"v{v}"))
@@ -121,7 +121,7 @@ class ShardStore:
         data = self._data([r.path for r in runs.select("path").distinct().collect()])
         # one row a shard: at 50 bytes each, a million shards are 50 MB
         merged = data.join(F.broadcast(runs.select("shard", "run")) if runs.count() <= 200_000 else runs.select("shard", "run"), "shard").drop("shard").withColumnRenamed("run", "shard")
-        merged.repartition(F.col("shard")).write.partitionBy("shard").parquet(f"{self.root}/data/v{v}")
+        merged.repartition(F.col("shard")).write.option("compression", "zstd").partitionBy("shard").parquet(f"{self.root}/data/v{v}")
         size = F.coalesce(F.octet_length(F.col(text_col)), F.lit(0)).cast("long")
         made = self._data([f"v{v}"]).groupBy("shard").agg(F.count("*").alias("n_docs"), F.sum(size).alias("n_bytes"))
         made = made.join(runs.groupBy(F.col("run").alias("shard")).agg(F.min("seq").alias("seq")), "shard").withColumn("tier", F.lit(1)).withColumn("path", F.lit(f"v{v}"))
@@ -131,8 +131,10 @@ class ShardStore:
 
 def shard(docs: DataFrame, target_bytes: int = 16 << 20, arrival_bytes: int = 2 << 20, root: str | None = None) -> ShardStore:
     """Append ``docs`` as arrivals, compact, drop what was replaced; the store at its new version."""
-    store = ShardStore(docs.sparkSession, root or Scratch(docs.sparkSession, "shards").root)
+    s = Scratch(docs.sparkSession, "shards")
+    store = ShardStore(docs.sparkSession, root or s.root)
     store.append(docs, arrival_bytes)
+    s.sweep()
     store.compact(target_bytes, arrival_bytes)
     store.vacuum()
     return store
