@@ -137,6 +137,8 @@ def identify(rows: DataFrame, model: Model, id_cols: list[str], text: str = "tex
     small_batches(spark)
     s = Scratch(spark, "langid")
     names, n = model.names, len(model.names)
+    if not n:
+        return rows.select(*id_cols, F.lit("unknown").alias("language"), F.lit(1.0).alias("confidence"), F.lit(1.0).alias("p_unknown"), F.lit(False).alias("kept"))
     evidence = {"declared": declared, "suffix": suffix, "domain": domain or host, "host": host}
     cols = [F.col(text).cast("string").alias("text"), F.struct(*id_cols).alias("row"), *[(F.lower(F.col(c).cast("string")) if c else F.lit(None).cast("string")).alias(k) for k, c in evidence.items()]]
     plain = rows.select(F.lit(0).alias("z"), *cols)

@@ -70,7 +70,8 @@ class ShardStore:
         m = self.manifest(version).select("shard", "path")
         paths = [r.path for r in m.select("path").distinct().collect()]
         if not paths:
-            return self.spark.createDataFrame([], "shard string")
+            none = self._path(f"{self.root}/schema")
+            return self.spark.read.parquet(f"{self.root}/schema") if self.fs.exists(none) else self.spark.createDataFrame([], "shard string")
         return self._data(paths).join(F.broadcast(m.select("shard")), "shard", "left_semi")
 
     def vacuum(self) -> None:
@@ -85,12 +86,15 @@ class ShardStore:
         v = self.version() + 1
         old = self.manifest(v - 1)
         size = F.coalesce(F.octet_length(F.col(text_col)), F.lit(0)).cast("long")
-        total = docs.agg(F.coalesce(F.sum(size), F.lit(0)).alias("b")).first().b
-        n = max(1, -(-int(total) // arrival_bytes))
+        seen = docs.agg(F.coalesce(F.sum(size), F.lit(0)).alias("b"), F.count("*").alias("n")).first()
+        n = max(1, -(-int(seen.b) // arrival_bytes))
         key = F.coalesce(F.col(id_col).cast("string"), F.lit("null"))
         seq = F.conv(F.substring(F.md5(key), 1, 13), 16, 10).cast("long") % F.lit(n)
         rows = docs.drop("shard", "arrival").withColumn("arrival", seq)
         rows = rows.repartition(F.col("arrival")).withColumn("shard", F.format_string(f"v{v}-%06d", "arrival"))
+        if not seen.n and not self.version():
+            # no shard will hold the columns
+            rows.limit(0).coalesce(1).write.parquet(f"{self.root}/schema")
         rows.write.option("compression", "zstd").partitionBy("shard").parquet(f"{self.root}/data/v{v}")
         written = self.spark.read.schema(rows.schema).parquet(f"{self.root}/data/v{v}")
         made = written.groupBy("shard").agg(F.count("*").alias("n_docs"), F.sum(size).alias("n_bytes"), F.min("arrival").alias("seq"))
