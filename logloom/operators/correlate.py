@@ -1,10 +1,10 @@
 """Brute force and compromise by source: one pure step, driven by batches or by a stream.
 
 State is per source address and inherently sequential (cooldown, reset), so the batch
-form sorts each source's authentication events inside one group function. Only events
-that can change state are shuffled: failures and successes with an address, six columns.
-A source that holds a third of all rows is still one sequence: it is fed in Arrow batches
-with constant state (the failures of one window), so it is long, not large.
+form walks partitions sorted by source and sequence number. Only events that can change
+state are shuffled: failures and successes with an address, five columns. A source that
+holds a third of all rows is still one sequence: Spark's sort spills and the walk takes
+Arrow batches with the state of one window, so it is long, not large.
 """
 
 from __future__ import annotations
@@ -94,13 +94,15 @@ FOUND = "seq long, kind string, failures int, users string, n_users int, total i
 
 
 def scan(cfg: Config):
-    """applyInPandas function over one source's rows, which come in batches sorted by seq."""
+    """mapInPandas function over rows sorted by source and seq: one source's state at a time."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        s = State()
+        source, s = None, State()
         for b in batches:
             rows = []
-            for seq, at, fail, user in zip(b["seq"], b["at"], b["fail"], b["user"]):
+            for ip_, seq, at, fail, user in zip(b["source_ip"], b["seq"], b["at"], b["fail"], b["user"]):
+                if ip_ != source:
+                    source, s = ip_, State()
                 hit = step(s, int(at), bool(fail), user or "", cfg)
                 if hit:
                     rows.append((seq, *hit))
@@ -117,13 +119,7 @@ def triggers(events: DataFrame, cfg: Config | None = None) -> DataFrame:
     # sources without enough failures can't raise anything: they end at a map-side combined count
     enough = small.where("fail").groupBy("source_ip").agg(F.count("*").alias("n")).where(F.col("n") >= min(cfg.threshold, cfg.reached)).select("source_ip")
     small = small.join(enough, "source_ip", "left_semi")
-    fn = scan(cfg)
-
-    def whole(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = list(fn(iter([pdf.sort_values("seq", kind="stable")])))
-        return out[0]
-
-    return small.groupBy("source_ip").applyInPandas(whole, FOUND)
+    return small.repartition("source_ip").sortWithinPartitions("source_ip", "seq").mapInPandas(scan(cfg), FOUND)
 
 
 def incidents(events: DataFrame, cfg: Config | None = None) -> DataFrame:
