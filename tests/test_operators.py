@@ -240,3 +240,23 @@ def test_stream_carries_state_over_batches(spark, tmp_path):
         def broken(df, i):
             raise RuntimeError("no")
         tee(broken, discard())(spark.range(1), 0)
+
+
+def test_alerts(spark):
+    from logloom.operators import analyst as A
+
+    e = make(spark, [{"source_ip": "203.0.113.5", "user": "ann", "host": "web-1", "rule": "r1", "category": "authentication", "score": 70, "severity": "high", "message": "ann at web-1"}, {"rule": "r2", "category": "execution", "score": 40, "severity": "warning"}])
+    a = A.by_rules(e, question="q")
+    assert (a["severity"], a["degraded"], a["title"]["en"]) == ("high", True, "HIGH: r1 on web-1 from 203.0.113.5") and "203.0.113.5" in a["recommended_actions"][0]
+    sources = [{"text": "one"}, {"text": "two"}]
+
+    def model(prompt):
+        assert "web-1" not in prompt and "ann at" not in prompt
+        return 'Sure: ```json {"severity": "critical", "confidence": 0.9, "title_en": "USER_1 on HOST_1", "citations": ["S2", "[S9]"], "mitre": ["T1"]} ```'
+
+    b = A.by_model(e, model, sources)
+    assert (b["severity"], b["title"]["en"], b["citations"], b["grounding"]["verdict"], b["confidence"]) == ("critical", "ann on web-1", [{"text": "two"}], A.PARTLY, 0.9)
+    assert A.by_model(e, lambda p: '{"confidence": 0.9, "citations": ["S7"], "severity": "odd"}', sources)["confidence"] == 0.4
+    assert A.by_model(e, lambda p: "no", sources)["degraded"]
+    assert [A.grounding(*x) for x in ((0, 0), (2, 0), (2, 1), (2, 2))] == [A.UNGROUNDED, A.INVENTED, A.PARTLY, A.GROUNDED]
+    assert A.clamp_severity("critical", "notice") == "warning" and A.extract_json('x {bad} {"a": "}"}') == {"a": "}"}
