@@ -13,15 +13,17 @@ from logloom.llm.scratch import Scratch
 
 #: Pivots of a bucket in the rounds after the first; the last holds from there on.
 PIVOTS = (4, 16, 64)
+SIDES = 2
 
 
 def star(keyed: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """``key, p, id``: each member beside one of its bucket; buckets of one vanish.
 
-    The pivot is the member next to the key by exclusive or: another one in every bucket,
-    so the buckets of a group of copies look at it from many sides.
+    The pivot is the member next to one of ``SIDES`` numbers by exclusive or. Buckets of one
+    group of copies thus share a few pivots: enough to join it, and a few pairs a member.
     """
-    p = F.min(F.col(id_col).bitwiseXOR(F.col("key"))).over(W.partitionBy("key")).bitwiseXOR(F.col("key"))
+    side = F.xxhash64(F.col("key").bitwiseAND(SIDES - 1))
+    p = F.min(F.col(id_col).bitwiseXOR(side)).over(W.partitionBy("key")).bitwiseXOR(side)
     return keyed.select("key", F.col(id_col).alias("id"), p.alias("p")).where("p <> id").select("key", "p", "id")
 
 
@@ -47,7 +49,11 @@ def link(live: DataFrame, distances: Callable[[DataFrame], DataFrame], s: Scratc
             comp = components(tested.where(f"100 * both >= {percent} * either").select("x", "y"), s, f"cc{turn}")
         named = members.join(comp.withColumnRenamed("node", "id"), "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
         split = named.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
-        named = s.save(f"m{turn}", named.join(split, "key", "left_semi"))
+        named = named.join(split, "key", "left_semi")
+        # buckets of the same members hold the same pairs: one of them is enough
+        look = named.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("x1"), F.bit_xor(F.xxhash64("id", F.lit(7))).alias("x2"))
+        one = look.groupBy("n", "x1", "x2").agg(F.min("key").alias("key")).select("key")
+        named = s.save(f"m{turn}", named.join(one, "key", "left_semi"))
         if turn:
             s.drop(f"m{turn - 1}")
         s.sweep()

@@ -113,8 +113,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     cls = s.save("cls", sig.where("n > 0 AND doc_id IS NOT NULL").groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("rep")))
     reps = sig.join(cls.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").where("n > 0").dropDuplicates(["doc_id"])
     # each class once under each of the groups**2 combined keys; a bucket of one is dropped at once
-    keyed = reps.select("doc_id", F.explode("a").alias("ka"), "b").select("doc_id", "ka", F.explode("b").alias("kb")).select("doc_id", F.xxhash64("ka", "kb").alias("key"))
-    live = s.save("live", star(keyed))
+    # in halves, so that only half of the tables' keys are on disk at a time
+    halves = []
+    for i, (start, n) in enumerate(((1, groups // 2), (groups // 2 + 1, groups - groups // 2))):
+        keyed = reps.select("doc_id", F.explode(F.slice("a", start, n)).alias("ka"), "b").select("doc_id", "ka", F.explode("b").alias("kb")).select("doc_id", F.xxhash64("ka", "kb").alias("key"))
+        halves.append(s.save(f"live{i}", star(keyed)))
+        s.sweep()
+    live = halves[0].unionByName(halves[1])
     s.sweep()
     ids = live.select(F.col("id").alias("doc_id")).union(live.select("p")).distinct()
     near = s.save("near", plain.join(ids, "doc_id", "left_semi"))
