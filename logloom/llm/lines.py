@@ -33,27 +33,23 @@ def _shingles(line: str, width: int) -> F.Column:
     return F.when(F.length(line) < width, F.array(line)).otherwise(cut)
 
 
-def _signatures(cls: DataFrame, width: int, bands: int, rows: int, full: int = 64, reach: int = 8) -> DataFrame:
+def _signatures(cls: DataFrame, width: int, bands: int, rows: int, reach: int = 8) -> DataFrame:
     """``h1, h2, keys``: the band keys of each class, without an exchange of its own.
 
-    A line of ``full * 2**t`` shingles or more is in tier t, where the shingles whose hash
-    ends in t zero bits are its sample; up to a quarter above that it is in tier t - 1 too,
-    so two lines whose sizes allow a similarity of 0.8 share a tier. One permutation: the
-    hash picks one of ``bands * rows`` bins and competes there only. An empty bin takes the
-    value of the next full one among ``reach``, else the line's first.
+    One permutation: a shingle's hash picks one of ``bands * rows`` bins and competes there
+    only. Every shingle of a line takes part, and a minimum doesn't see repeats, so lines with
+    one set have one signature whatever their lengths. An empty bin takes the value of the
+    next full one among ``reach``, else the line's first.
     """
     m = bands * rows
     wide = cls.select("h1", "h2", F.encode("f.line", "UTF-32").alias("u")).withColumn("n", F.expr(f"greatest(octet_length(u) div 4 - {width} + 1, 1)"))
-    tier = F.expr(f"greatest(cast(floor(log2(n / {full}D)) as int), 0)")
-    tiers = wide.withColumn("t", tier).withColumn("t", F.explode(F.expr(f"if(t > 0 and n <= {full} * 1.25D * shiftleft(1, t), array(t, t - 1), array(t))")))
-    each = tiers.select("h1", "h2", "t", F.expr("shiftleft(1L, t) - 1").alias("mask"), "u", F.explode(F.expr("sequence(0, n - 1)")).alias("i"))
-    hashed = each.select("h1", "h2", "t", "mask", F.expr(f"xxhash64(substring(u, 4 * i + 1, {4 * width}))").alias("v")).where("v & mask = 0")
-    binned = hashed.groupBy("h1", "h2", "t", F.expr(f"cast((shiftrightunsigned(v, 32)) % {m} as int)").alias("bin")).agg(F.min("v").alias("v"))
-    one = binned.groupBy("h1", "h2", "t").agg(*[F.min(F.expr(f"if(bin = {j}, v, null)")).alias(f"m{j}") for j in range(m)])
+    each = wide.select("h1", "h2", "u", F.explode(F.expr("sequence(0, n - 1)")).alias("i"))
+    hashed = each.select("h1", "h2", F.expr(f"xxhash64(substring(u, 4 * i + 1, {4 * width}))").alias("v"))
+    binned = hashed.groupBy("h1", "h2", F.expr(f"cast((shiftrightunsigned(v, 32)) % {m} as int)").alias("bin")).agg(F.min("v").alias("v"))
+    one = binned.groupBy("h1", "h2").agg(*[F.min(F.expr(f"if(bin = {j}, v, null)")).alias(f"m{j}") for j in range(m)])
     first = F.coalesce(*[F.col(f"m{j}") for j in range(m)])
-    filled = one.select("h1", "h2", "t", first.alias("w"), *[F.coalesce(*[F.col(f"m{(j + k) % m}") for k in range(reach)]).alias(f"d{j}") for j in range(m)])
-    keys = filled.select("h1", "h2", F.array(*[F.xxhash64(F.lit(b), "t", *[F.coalesce(f"d{b * rows + r}", "w") for r in range(rows)]) for b in range(bands)]).alias("keys"))
-    return keys.groupBy("h1", "h2").agg(F.flatten(F.collect_list("keys")).alias("keys"))
+    filled = one.select("h1", "h2", first.alias("w"), *[F.coalesce(*[F.col(f"m{(j + k) % m}") for k in range(reach)]).alias(f"d{j}") for j in range(m)])
+    return filled.select("h1", "h2", F.array(*[F.xxhash64(F.lit(b), *[F.coalesce(f"d{b * rows + r}", "w") for r in range(rows)]) for b in range(bands)]).alias("keys"))
 
 
 def _distances(cls: DataFrame, width: int):

@@ -61,6 +61,19 @@ def test_lines_against_brute_force(spark):
     assert got == brute(rows)
 
 
+def test_repetitive_lines_of_any_length(spark):
+    # few distinct shingles at many positions; equal sets beside near ones
+    rule = ["-" * n for n in (73, 80, 300, 5_000)]
+    laugh = ["Ha " * n for n in (20, 60, 700)]
+    cycle = ["abcdefghijklmnopqrstuvwxyz0123456789" * n + tail for n, tail in ((2, ""), (40, "xy"), (900, ""), (2_000, "z"))]
+    pairs = [(chr(0x4E00 + k) * 3 + "=~") * n for k in range(30) for n in (4, 2_000)]
+    rows = [(d, t) for d, t in enumerate(rule + laugh + cycle + pairs)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted([tuple(r) for r in lines.dedup_lines(df).collect()], key=str)
+    assert got == brute(rows)
+    assert sum(r[2] for r in got) == len(rows) - 33
+
+
 def test_empty_table_has_no_rows(spark):
     out = lines.dedup_lines(spark.createDataFrame([], "doc_id long, text string"))
     assert out.columns == ["doc_id", "n_lines", "n_removed", "kept"] and out.count() == 0
