@@ -2,10 +2,11 @@
 
 log P(l | everything) = text likelihood + log P(declared | l) + log P(suffix | l) + log P(l | host)
 
-* Text: naive Bayes over byte trigrams hashed to 2**16 buckets, fitted on at most
-  ``TRAIN_ROWS`` labelled rows (the smallest hashes of their ids); applied to whole
-  texts, with the mean likelihood weighted by at most ``EFFECTIVE`` trigrams, because
-  trigrams of one text are not independent.
+* Text: naive Bayes over byte trigrams hashed to 2**16 buckets, fitted on the rows of at
+  most ``TRAIN_ROWS`` ids of each label (those of the smallest hashes); a label with fewer
+  than ``least`` rows in the whole table is not fitted. Applied to whole texts, with the
+  mean likelihood weighted by at most ``EFFECTIVE`` trigrams, because trigrams of one text
+  are not independent.
 * Declared markup language and address suffix: how often each value goes with each
   language, by grouped sums of the text posteriors of all rows, smoothed.
 * Host: the same sums by host, shrunk towards its domain, and that towards all rows, each
@@ -27,6 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -79,10 +81,15 @@ class Model:
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", rows: int = TRAIN_ROWS, least: int = 3) -> Model:
     small_batches(docs.sparkSession)
     d = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(label_col).cast("string").alias("l")).where("i IS NOT NULL AND t IS NOT NULL AND l IS NOT NULL")
-    chosen = d.select("i", "l").orderBy(F.xxhash64("i"), "i").limit(rows)
-    enough = chosen.groupBy("l").count().where(F.col("count") >= least).select("l")
-    ids = chosen.join(F.broadcast(enough), "l", "left_semi").select("i").distinct()
-    counts = d.join(F.broadcast(ids), "i", "left_semi").select("l", "t").mapInArrow(_counts, "label string, bucket long, n long").groupBy("label", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    d = d.withColumn("v", F.xxhash64("i"))
+    # a hash prefix of each label holds its smallest hashes; sketches and sets are map-side combined
+    sizes = d.groupBy("l").agg(F.count("*").alias("n"), F.approx_count_distinct("v").alias("ids")).where(F.col("n") >= least)
+    part = sizes.select("l", (F.lit(2.0 * rows + 100) / F.col("ids")).alias("p"))
+    small = d.select("l", "v").join(F.broadcast(part), "l").where("v / 18446744073709551616D + 0.5D < p").select("l", "v").distinct()
+    ranked = small.withColumn("k", F.row_number().over(W.partitionBy("l").orderBy("v"))).where(F.col("k") <= rows)
+    last = ranked.groupBy("l").agg(F.max("v").alias("last"))
+    chosen = d.join(F.broadcast(last), "l").where("v <= last").select("l", "t")
+    counts = chosen.mapInArrow(_counts, "label string, bucket long, n long").groupBy("label", "bucket").agg(F.sum("n").alias("n")).toArrow()
     names = sorted(set(counts.column("label").to_pylist()))
     table = np.full((len(names), BUCKETS), 0.5)
     at = {x: i for i, x in enumerate(names)}

@@ -34,3 +34,15 @@ def test_declared_language_and_host_move_an_unclear_text(spark):
     short = spark.createDataFrame([(-1, "de la", "fr", "host-fr"), (-2, "de la", "es", "host-es")], base.schema)
     got = {r.doc_id: r.language for r in langid.identify(base.union(short), model, ["doc_id"], declared="lang", host="host").where("doc_id < 0").collect()}
     assert got == {-1: "fr", -2: "es"}
+
+
+def test_rare_languages_are_fitted_in_a_table_of_any_size(spark):
+    en, el = "the cat and the dog went home in the rain number", "η γάτα και ο σκύλος πήγαν σπίτι μέσα στη βροχή αριθμός"
+    rows = [(k, f"{en} {k}", "en") for k in range(3000)] + [(k, f"{el} {k}", "el") for k in range(3000, 3004)] + [(9000, "ωμέγα", "xx"), (9001, "ωμέγα", "xx")]
+    # one id in all rows of a label is one hash
+    rows += [(9500, "le chat et le chien rentrent sous la pluie", "fr")] * 200
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    model = langid.fit(docs, rows=50)
+    assert model.names == ["el", "en", "fr"]
+    got = langid.identify(docs.where("lang <> 'xx'"), model, ["lang"]).groupBy("lang", "language", "kept").count().collect()
+    assert {(r.lang, r.language, r.kept, r["count"]) for r in got} == {("en", "en", True, 3000), ("el", "el", True, 4), ("fr", "fr", True, 200)}
