@@ -40,3 +40,28 @@ def test_verbatim_reparameterised_and_clean(spark):
     assert a[1] == [10] and a[2] == [10] and 3 not in a and 4 not in a and 5 not in a
     assert run(spark, docs, [])[0] == {} and run(spark, [], [(10, Q)])[0] == {}
     assert run(spark, [(8, (filler * 20000) + Q)], [(10, Q)])[0] == {8: [10]}
+
+
+def test_verbatim_copies_of_items_without_template_windows(spark):
+    sums = "Compute 3 + 4 x 12 - 7 / 2"
+    values = "12, 15.5, 18, 21, 24 and 30 kg, 40 kg, 50 kg"
+    names = "Anna Smith Peter Jones Maria Weber Hans Meyer"
+    filler = "the quick brown fox jumps over the lazy dog again and again while nobody looks at it "
+    items = [(20, sums), (21, values), (22, names), (23, "2 + 2 ="), (24, "!?"), (25, "Élan Vital"), (26, "we met Anna Smith today")]
+    docs = [(k, f"{filler} {t}. {filler}") for k, (_, t) in enumerate(items)] + [
+        # near, but no copies: other numbers or names, other signs between
+        (10, filler + sums.replace("4", "5").replace("12", "13").replace("7", "8") + " " + filler),
+        (11, filler + "13, 16.5, 19, 22, 25 and 31 kg, 41 kg, 51 kg " + filler),
+        (12, filler + "Carl Otto Paul Kurz Nina Berg Ida Lang " + filler),
+        (13, filler + "2 - 2 = 0 " + filler), (14, filler + "COMPUTE  3 + 4 x\n12 - 7 / 2"), (15, sums), (16, filler + " élan\tvital"),
+    ]
+    a, b = run(spark, docs, items)
+    assert a == b == {0: [20], 1: [21], 2: [22], 3: [23], 5: [25], 6: [26], 14: [20], 15: [20], 16: [25]}
+
+
+def test_verbatim_passage_of_the_weak_part_of_an_item(spark):
+    numbers = " ".join(str(k) for k in range(100, 130))
+    filler = "the quick brown fox jumps over the lazy dog again and again while nobody looks at it "
+    docs = [(1, filler + numbers[:59] + " " + filler), (2, filler + " ".join(str(k) for k in range(200, 215)) + filler)]
+    a, b = run(spark, docs, [(30, Q + " Values: " + numbers)])
+    assert a == b == {1: [30]}
