@@ -4,10 +4,11 @@ Markup is stripped with every block-level element on a line of its own. Lines in
 containers that are no article (menus, headers, footers, sidebars, notices, adverts,
 forms, comments) and lines that are mostly links weigh nothing, the others weigh their
 length; where a page marks its article, only lines inside weigh. The weights are summed
-over a window of ``reach`` lines: the text starts at a surge (the sum rises from under
-the threshold) and ends at a dive (it falls under it again). With a marked article the
-threshold is one character, so short paragraphs stay; without, it is a share of the
-page's largest sum, and runs whose share of the text is negligible are dropped.
+over a window of ``reach`` lines: the text starts at the first surge (the sum rises to the
+threshold) and ends at the last dive (it falls under it for good), and all lines between
+that weigh anything stay. With a marked article the threshold is one character, so short
+paragraphs stay; without, it is ``least`` characters, or ``share`` of the page's largest
+sum where that is less, whatever the length of its longest paragraph.
 
 Null, empty and text-free pages give an empty string. Unclosed elements end with their
 container. Pages are independent rows, so repeated rows, null ids and extra columns
@@ -136,7 +137,7 @@ class _Lines:
         self.inside += art
 
 
-def main_text(page: str | None, reach: int = 3, share: float = 0.2) -> str:
+def main_text(page: str | None, reach: int = 3, share: float = 0.2, least: int = 86) -> str:
     """The main text: blocks in page order, joined by two line feeds."""
     if not page:
         return ""
@@ -149,18 +150,11 @@ def main_text(page: str | None, reach: int = 3, share: float = 0.2) -> str:
         ok = not bad and (bool(article) if marked else 2 * link <= len(_WHITE.sub("", text)))
         weight.append(n if ok else 0)
     sums = [sum(weight[i : i + reach]) for i in range(len(weight))]
-    need = 1 if marked else max(1.0, share * max(sums, default=0))
-    keep: list[str] = []
-    i, n = 0, len(lines)
-    while i < n:
-        if sums[i] < need:  # before a surge
-            i += 1
-            continue
-        j = i
-        while j < n and sums[j] >= need:  # up to the dive
-            j += 1
-        keep += [lines[k][0] for k in range(i, min(n, j + (0 if marked else reach - 1))) if weight[k]]
-        i = j if marked else j + reach - 1
+    need = 1 if marked else max(1.0, min(least, share * max(sums, default=0)))
+    over = [i for i, x in enumerate(sums) if x >= need]
+    if not over:
+        return ""
+    keep = [lines[k][0] for k in range(over[0], min(len(lines), over[-1] + reach)) if weight[k]]
     return "\n\n".join(keep)
 
 

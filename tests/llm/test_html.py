@@ -26,6 +26,13 @@ def test_without_article_marks():
     assert main_text(page) == "\n\n".join([long.strip(), "Short.", long.strip()])
 
 
+def test_one_long_paragraph_silences_no_other():
+    para = [f"{k} " + "words of an ordinary paragraph " * 10 for k in range(12)]
+    text = ["start " * 2_000, *para[:6], "A", "B", "C", "D", "E", *para[6:]]
+    page = "<div><ul><li><a href=1>Home</a></li></ul>" + "".join(f"<p>{x}</p>" for x in text) + "</div>" + "<p><a href=2>A link to more</a></p>" * 4 + "<p>Imprint</p>"
+    assert main_text(page) == "\n\n".join(x.strip() for x in text)
+
+
 def test_edges(spark):
     assert main_text(None) == main_text("") == main_text("<html></html>") == main_text("<nav>x</nav>") == ""
     df = spark.createDataFrame([(1, "u", PAGE, "x"), (1, "u", PAGE, "x"), (None, None, None, None), (2, "u", "<article>" + "<p>word</p>" * 20000 + "</article>", "y")], "page_id long, url string, html string, text string")
