@@ -149,7 +149,7 @@ def components(node: DataFrame, edge: DataFrame) -> DataFrame:
         label = cut(label.join(up, label["c"] == up["p"], "left").select("id", F.coalesce("pc", "c").alias("c")))
 
 
-def routes(edge: DataFrame, starts: DataFrame, access_only: bool = True, most: int = 64) -> DataFrame:
+def routes(edge: DataFrame, starts: DataFrame, access_only: bool = True) -> DataFrame:
     """``start, id, path``: a shortest route from every start to all it reaches; of equals the first by name.
 
     Frontiers carry paths, one for each (start, node), and stop when nothing new is reached.
@@ -160,13 +160,12 @@ def routes(edge: DataFrame, starts: DataFrame, access_only: bool = True, most: i
     e = cut(e.distinct())
     front = cut(starts.select(F.col("id").alias("start"), "id", F.array("id").alias("path")).distinct())
     done = front
-    for _ in range(most):
+    while True:
         step = front.join(e, front["id"] == e["src"]).select("start", F.col("dst").alias("id"), F.concat("path", F.array("dst")).alias("path"))
         front = cut(step.join(done.select("start", "id"), ["start", "id"], "left_anti").groupBy("start", "id").agg(F.min("path").alias("path")))
         if front.isEmpty():
-            break
+            return done
         done = cut(done.unionByName(front))
-    return done
 
 
 def shortest_path(edge: DataFrame, src: str, dst: str, access_only: bool = True) -> list[str]:

@@ -260,3 +260,9 @@ def test_alerts(spark):
     assert A.by_model(e, lambda p: "no", sources)["degraded"]
     assert [A.grounding(*x) for x in ((0, 0), (2, 0), (2, 1), (2, 2))] == [A.UNGROUNDED, A.INVENTED, A.PARTLY, A.GROUNDED]
     assert A.clamp_severity("critical", "notice") == "warning" and A.extract_json('x {bad} {"a": "}"}') == {"a": "}"}
+
+
+def test_routes_have_no_bound_of_hops(spark):
+    hops = 66
+    edge = spark.createDataFrame([(f"n{k:03}", f"n{k + 1:03}", True) for k in range(hops)], "src string, dst string, grants_access boolean")
+    assert graph.shortest_path(edge, "n000", f"n{hops:03}") == [f"n{k:03}" for k in range(hops + 1)]
