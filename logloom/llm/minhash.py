@@ -13,7 +13,7 @@ is expanded into all pairs, sampled or capped.
 
 Edge cases: null text is empty; a text without words has no shingles, is linked with
 nothing and kept; a null id takes its component from equal texts and is kept; repeated rows of one
-id are one class; extra columns are ignored; an empty table gives an empty result.
+id are one class, other texts of it classes of their own; extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ from logloom.llm.buckets import link, star
 from logloom.llm.scratch import Scratch, small_batches
 
 SIGNED = np.int64
-SIG = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n", T.LongType()), T.StructField("h1", T.LongType()), T.StructField("h2", T.LongType()), T.StructField("a", T.ArrayType(T.LongType())), T.StructField("b", T.ArrayType(T.LongType()))])
+SIG = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n", T.LongType()), T.StructField("h1", T.LongType()), T.StructField("h2", T.LongType()), T.StructField("a", T.ArrayType(T.LongType())), T.StructField("b", T.ArrayType(T.LongType())), T.StructField("th", T.LongType())])
 
 
 def _constants(groups: int, rows: int) -> tuple[np.ndarray, np.ndarray]:
@@ -64,7 +64,7 @@ def signatures(width: int, groups: int, rows: int):
                 flat = np.ascontiguousarray(keys.T).view(SIGNED)
                 lists = lambda x: pa.ListArray.from_arrays(pa.array(np.arange(0, groups * n + 1, groups, dtype=np.int32)), pa.array(np.ascontiguousarray(x).reshape(-1)))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(i, n), pa.array(np.diff(at)), pa.array(K.segment_sum(K.mix(h), at).view(SIGNED)), pa.array(K.segment_sum(K.mix(h * K.U(K.BASE2)), at).view(SIGNED)), lists(flat[:, :groups]), lists(flat[:, groups:])],
+                    [batch.column(0).slice(i, n), pa.array(np.diff(at)), pa.array(K.segment_sum(K.mix(h), at).view(SIGNED)), pa.array(K.segment_sum(K.mix(h * K.U(K.BASE2)), at).view(SIGNED)), lists(flat[:, :groups]), lists(flat[:, groups:]), batch.column(2).slice(i, n)],
                     names=SIG.fieldNames(),
                 )
 
@@ -108,10 +108,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     small_batches(spark)
     s = Scratch(spark, "minhash")
-    plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("th", F.xxhash64("text"))
     sig = s.save("sig", plain.mapInArrow(signatures(width, groups, rows), SIG))
-    cls = s.save("cls", sig.where("n > 0 AND doc_id IS NOT NULL").groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("rep")))
-    reps = sig.join(cls.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").where("n > 0").dropDuplicates(["doc_id"])
+    # a class is a node of its own: one id may stand for several classes, by other texts
+    cls = sig.where("n > 0 AND doc_id IS NOT NULL").groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("rep"), F.min_by("th", "doc_id").alias("th"))
+    cls = s.save("cls", cls.withColumn("node", F.monotonically_increasing_id()))
+    texts = cls.select(F.col("rep").alias("doc_id"), "th", "node")
+    reps = sig.where("n > 0").join(texts, ["doc_id", "th"]).dropDuplicates(["doc_id", "th"]).select(F.col("node").alias("doc_id"), "a", "b")
     # each class once under each of the groups**2 combined keys; a bucket of one is dropped at once
     # in halves, so that only half of the tables' keys are on disk at a time
     halves = []
@@ -122,10 +125,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     live = halves[0].unionByName(halves[1])
     s.sweep()
     ids = live.select(F.col("id").alias("doc_id")).union(live.select("p")).distinct()
-    near = s.save("near", plain.join(ids, "doc_id", "left_semi"))
+    near = texts.join(ids.select(F.col("doc_id").alias("node")), "node", "left_semi")
+    near = s.save("near", plain.join(near, ["doc_id", "th"]).dropDuplicates(["doc_id", "th"]).select(F.col("node").alias("doc_id"), "text"))
     s.sweep()
     comp = link(live, lambda pairs: _distances(pairs, near, width), s, percent)
-    named = s.save("named", cls.join(comp, cls["rep"] == comp["node"], "left").select("n", "h1", "h2", F.coalesce("component", "rep").alias("component")))
+    both = s.save("both", cls.join(comp.withColumnRenamed("node", "c"), F.col("node") == F.col("c"), "left").select("n", "h1", "h2", "rep", F.coalesce("component", "node").alias("of")))
+    named = s.save("named", both.join(both.groupBy("of").agg(F.min("rep").alias("component")), "of").select("n", "h1", "h2", "component"))
     out = sig.join(named, ["n", "h1", "h2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 

@@ -116,9 +116,11 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
     plain = plain.withColumn("fit", F.coalesce(fit, F.lit(False)))
     rows = s.save("rows", plain.where("fit").select("vec_id", "label", F.size("v").alias("d"), F.xxhash64("v").alias("h1"), F.xxhash64(F.lit(7), F.col("v")).alias("h2")))
     key = ["label", "d", "h1", "h2"]
-    cls = s.save("cls", rows.groupBy(*key).agg(F.min("vec_id").alias("id"), F.count("*").alias("copies")))
-    reps = plain.where("fit").join(cls.select(F.col("id").alias("vec_id"), "copies", F.col("label").alias("l2")), "vec_id").where("label = l2").dropDuplicates(["vec_id"])
-    reps = s.save("reps", reps.select(F.col("vec_id").alias("id"), "label", F.size("v").alias("d"), "v", "copies"))
+    cls = s.save("cls", rows.groupBy(*key).agg(F.min("vec_id").alias("id"), F.count("*").alias("copies")).withColumn("node", F.monotonically_increasing_id()))
+    # a class is a node of its own: one id may stand for several classes, by other vectors
+    hashed = plain.where("fit").select(F.col("vec_id").alias("id"), "label", "v", F.size("v").alias("d"), F.xxhash64("v").alias("h1"), F.xxhash64(F.lit(7), v).alias("h2"))
+    reps = hashed.join(cls, ["id", *key]).dropDuplicates(["node"])
+    reps = s.save("reps", reps.select(F.col("node").alias("id"), "label", "d", "v", "copies"))
     sizes = s.save("sizes", reps.groupBy("label", "d").agg(F.ceil(F.count("*") / block).cast("int").alias("nb")))
     # a row goes to the groups of its block with each block of the label; the few sizes ride on a join that skewed labels may split
     homed = reps.join(sizes, ["label", "d"]).withColumn("home", F.expr("cast(pmod(xxhash64(id, 11), nb) as int)"))
@@ -126,7 +128,10 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
     found = s.save("found", dealt.groupBy("label", "d", "i", "j").applyInArrow(_block(least, projections, reach, need), "id long, links long, root long"))
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
     comp = components(found.where("id <> root").select("id", "root"), s)
-    named = s.save("named", cls.join(links, "id", "left").join(comp, cls["id"] == comp["node"], "left").select(*key, (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links"), F.coalesce("component", "id").alias("component_id")))
+    tree = comp.select(F.col("node").alias("of"), "component")
+    links = links.withColumnRenamed("id", "node")
+    met = s.save("met", cls.join(links, "node", "left").join(tree, F.col("node") == F.col("of"), "left").select(*key, "id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links"), F.coalesce("component", "node").alias("of")))
+    named = s.save("named", met.join(met.groupBy("of").agg(F.min("id").alias("component_id")), "of").select(*key, "n_links", "component_id"))
     good = rows.join(named, key).select("vec_id", "n_links", "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept"))
     other = plain.where("NOT fit").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     return good.unionByName(other)

@@ -71,6 +71,14 @@ def test_edges(spark):
     assert sorted(((r.doc_id or -1), r.component_id, r.kept) for r in minhash.near_duplicates(df, width=2).collect()) == [(-1, 1, True), (1, 1, True), (1, 1, True)]
 
 
+def test_texts_of_a_repeated_id_are_linked_each_by_itself(spark):
+    a, b = (" ".join(f"{x}{k}" for k in range(60)) for x in "ab")
+    rows = [(7, a), (7, b), (8, a + " more"), (9, b + " more"), (10, a + " else"), (11, b + " else"), (12, "other words")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted((r.doc_id, r.component_id, r.kept) for r in minhash.near_duplicates(df, width=2).collect())
+    assert got == [(7, 7, True), (7, 7, True), *[(k, 7, False) for k in (8, 9, 10, 11)], (12, 12, True)]
+
+
 def test_components_long_path(spark):
     n = 60
     ids = list(range(n))

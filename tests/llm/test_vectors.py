@@ -51,6 +51,13 @@ def test_matches_brute_force(spark):
     assert run(spark, []) == []
 
 
+def test_vectors_of_a_repeated_id_are_linked_each_by_itself(spark):
+    x, y = [1.0, 0.0, 0.0, 0.0], [0.0, 1.0, 0.0, 0.0]
+    near = lambda v: [a + 0.05 for a in v]
+    rows = [(7, x, 1), (7, y, 1), (8, near(x), 1), (9, near(y), 1), (10, x, 1)]
+    assert run(spark, rows) == [(7, 1, 7, True), (7, 2, 7, True), (8, 2, 7, False), (9, 1, 7, False), (10, 2, 7, False)]
+
+
 def test_threshold_count():
     k = vectors.needed(24, 1.5, 1 - 1e-6)
     assert 8 <= k <= 14
