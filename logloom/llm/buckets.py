@@ -11,60 +11,89 @@ from pyspark.sql import functions as F
 from logloom.llm.components import components
 from logloom.llm.scratch import Scratch
 
-#: Pivots of a bucket in the rounds after the first; the last holds from there on.
-PIVOTS = (4, 16, 64)
-SIDES = 2
+#: Members of a group that meet without a filter; results don't depend on it.
+SMALL = 32
 
 
-def star(keyed: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """``key, p, id``: each member beside one of its bucket; buckets of one vanish.
+def shared(keyed: DataFrame) -> DataFrame:
+    """``id, key, n`` of the rows ``id, key`` whose key occurs at least twice, ``n`` times.
 
-    The pivot is the member next to one of ``SIDES`` numbers by exclusive or. Buckets of one
-    group of copies thus share a few pivots: enough to join it, and a few pairs a member.
+    Keys are counted by a map-side combined aggregate and joined back, so the rows of a hot
+    key are never gathered: the join's large partitions are split at run time.
     """
-    side = F.xxhash64(F.col("key").bitwiseAND(SIDES - 1))
-    p = F.min(F.col(id_col).bitwiseXOR(side)).over(W.partitionBy("key")).bitwiseXOR(side)
-    return keyed.select("key", F.col(id_col).alias("id"), p.alias("p")).where("p <> id").select("key", "p", "id")
+    n = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    return keyed.join(n, "key")
 
 
-def link(live: DataFrame, distances: Callable[[DataFrame], DataFrame], s: Scratch, percent: int) -> DataFrame:
+def stars(keyed: DataFrame) -> DataFrame:
+    """``p, id``: each member of a bucket beside the bucket's pivot, each pair once.
+
+    The pivot is the member of the highest ``score``, the one that shares most keys with most
+    others: of a text and its edited copies it is the text or a copy close to it, whatever the
+    bucket, so a group of copies has few pivots and most members are linked with them at once.
+    """
+    best = keyed.groupBy("key").agg(F.max(F.struct("score", "id")).alias("m"), F.count("*").alias("n")).where("n > 1").select("key", F.col("m.id").alias("p"))
+    return keyed.join(best, "key").where("p <> id").select("p", "id").distinct()
+
+
+def _split(named: DataFrame) -> DataFrame:
+    """The groups with members of several components."""
+    return named.join(named.groupBy("p").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("p"), "p", "left_semi")
+
+
+def _met(named: DataFrame, tokens: Callable[[DataFrame], DataFrame], sizes: DataFrame, s: Scratch, percent: int) -> DataFrame:
+    """Pairs (x, y) of a large group in different components that may reach the threshold.
+
+    A prefix filter within the group, exact: in one order of its elements, rarest in the group
+    first, two sets that share o elements share one among the first n - o + 1 of each. The
+    threshold asks for ``o >= percent / (100 + percent) * (n + m)``, so the element at rank r of a set
+    of n can be that one only for partners of at most ``most`` elements. Edits of a copy's own
+    are rare in its group: a copy with too many of them meets nobody, or the few that made the same
+    edits, instead of the group. One side is never of the group's largest component.
+    """
+    rows = named.join(sizes, "id").join(tokens(named.select("id").distinct()), "id").select("p", "h", "id", "c", "n")
+    rows = s.save("rows", rows)
+    often = rows.groupBy("p", "h").agg(F.count("*").alias("k")).where("k > 1")
+    mine = W.partitionBy("p", "id")
+    rank = F.row_number().over(mine.orderBy("k", "h")) + F.col("n") - F.count("*").over(mine)
+    most = F.floor((F.col("n") - F.col("r") + 1) * (100 + percent) / percent + 1e-6) - F.col("n")
+    index = rows.join(often, ["p", "h"]).withColumn("r", rank).withColumn("most", most)
+    least = sizes.join(named.select("p", "id"), "id").groupBy("p").agg(F.min("n").alias("least"))
+    index = s.save("index", index.join(least, "p").where("most >= least").select("p", "h", "id", "c", "n", "most"))
+    largest = named.groupBy("p", "c").agg(F.count("*").alias("k")).groupBy("p").agg(F.max(F.struct("k", "c")).alias("m")).select("p", F.col("m.c").alias("main"))
+    few = index.join(largest, "p").where("c <> main").select("p", "h", F.col("id").alias("q"), F.col("c").alias("qc"), F.col("n").alias("qn"), F.col("most").alias("qmost"))
+    return index.join(few, ["p", "h"]).where("c <> qc AND n <= qmost AND qn <= most").select(F.least("q", "id").alias("x"), F.greatest("q", "id").alias("y")).distinct()
+
+
+def link(star: DataFrame, distances: Callable[[DataFrame], DataFrame], tokens: Callable[[DataFrame], DataFrame], sizes: DataFrame, s: Scratch, percent: int) -> DataFrame:
     """``node, component`` of all that is linked, from the stars of the buckets.
 
-    ``distances`` gives the sizes of the intersection and union of each pair (x, y). A round
-    tests a bucket's pivots against its members in other components, joins components by
-    the links found, and takes the pivots out, which have met all they can be linked with. A
-    bucket within one component is done. Pivots come from a bucket's smallest components, so
-    a few outliers of a large group cost a pass each, and no pair is tested twice.
+    ``distances`` gives the sizes of the intersection and union of the sets of each pair (x, y),
+    ``tokens`` the elements ``id, h`` of the sets, ``sizes`` their number ``id, n``. After the stars, what
+    shared a bucket shares a pivot. A pivot's group is done when its members are one
+    component. In a group of at most ``SMALL``, members of different components meet
+    (fewer than ``SMALL`` pairs a member); in a larger one, those that an exact filter admits. Then
+    every pair that shared a bucket is in one component, tested, or proven to be below.
     """
-    live = s.save("b0", live)
+    star = s.save("star", star)
+    s.sweep()
+    good = f"100 * both >= {percent} * either"
+    first = s.save("t0", distances(star.select(F.least("p", "id").alias("x"), F.greatest("p", "id").alias("y")).distinct()))
+    links = first.where(good).select("x", "y")
+    comp = components(links, s, "cc0")
+    s.sweep()
+    named = star.join(comp.withColumnRenamed("node", "id"), "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
+    named = s.save("split", _split(named))
+    if named.isEmpty():
+        return comp
+    sized = named.join(named.groupBy("p").agg(F.count("*").alias("k")), "p")
+    small, large = sized.where(f"k <= {SMALL}").drop("k"), s.save("large", sized.where(f"k > {SMALL}").drop("k"))
+    other = small.select("p", F.col("id").alias("q"), F.col("c").alias("qc"))
+    pairs = small.join(other, "p").where("id < q AND c <> qc").select(F.col("id").alias("x"), F.col("q").alias("y")).distinct()
+    if not large.isEmpty():
+        pairs = pairs.unionByName(_met(large, tokens, sizes, s, percent)).distinct()
+    s.sweep()
+    new = s.save("t1", distances(pairs.join(first.select("x", "y"), ["x", "y"], "left_anti"))).where(good).select("x", "y")
+    s.drop("rows", "index")
     s.sweep()
-    members = live.select("key", "id").distinct()
-    pairs = live.select(F.least("p", "id").alias("x"), F.greatest("p", "id").alias("y")).distinct()
-    tested, comp = None, None
-    turn = 0
-    while True:
-        new = s.save(f"t{turn}", distances(pairs))
-        tested = new if tested is None else tested.unionByName(new)
-        if comp is None or not new.where(f"100 * both >= {percent} * either").isEmpty():
-            comp = components(tested.where(f"100 * both >= {percent} * either").select("x", "y"), s, f"cc{turn}")
-        named = members.join(comp.withColumnRenamed("node", "id"), "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
-        split = named.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
-        named = named.join(split, "key", "left_semi")
-        # buckets of the same members hold the same pairs: one of them is enough
-        look = named.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("x1"), F.bit_xor(F.xxhash64("id", F.lit(7))).alias("x2"))
-        one = look.groupBy("n", "x1", "x2").agg(F.min("key").alias("key")).select("key")
-        named = s.save(f"m{turn}", named.join(one, "key", "left_semi"))
-        if turn:
-            s.drop(f"m{turn - 1}")
-        s.sweep()
-        if named.isEmpty():
-            return comp
-        # smallest components first; sizes are map-side combined counts
-        sizes = named.groupBy("key", "c").agg(F.count("*").alias("n"))
-        order = W.partitionBy("key").orderBy("n", F.xxhash64("id"))
-        ranked = named.join(sizes, ["key", "c"]).withColumn("k", F.row_number().over(order)).where(F.col("k") <= PIVOTS[min(turn, len(PIVOTS) - 1)])
-        pivots = s.save(f"p{turn}", ranked.select("key", F.col("id").alias("p"), F.col("c").alias("pc")))
-        met = named.join(pivots, "key").where("c <> pc").select(F.least("p", "id").alias("x"), F.greatest("p", "id").alias("y")).distinct()
-        pairs = met.join(tested.select("x", "y"), ["x", "y"], "left_anti")
-        members = named.select("key", "id").join(pivots.select("key", F.col("p").alias("id")), ["key", "id"], "left_anti")
-        turn += 1
+    return comp if new.isEmpty() else components(links.unionByName(new), s, "cc1")

@@ -2,11 +2,11 @@
 
 Lines are trimmed of blanks; equal lines are one class (an aggregate by 128 hash bits)
 before anything else, so a line in a third of all documents is one row. A class's set is
-its distinct ``width``-character shingles (a shorter line is one shingle). Shingles are cut
-from UTF-32, where every position is reached in constant time, and exploded inside one
-generated loop that keeps ``bands * rows`` minima a line; this runs on the partitioning of
-the class aggregate, so no signature is shuffled. A pair at similarity 0.8 shares no band
-with probability (1 - 0.8**rows)**bands, 6e-4 with the defaults. Candidates of a bucket are
+its distinct ``width``-character shingles (a shorter line is one shingle), cut from UTF-32,
+where every position is reached in constant time, and hashed inside the row. The band
+keys come from one permutation (see ``_signatures``), on the partitioning of the class
+aggregate, so no signature is shuffled. With all bins full, a pair at similarity 0.8 shares no
+band with probability (1 - 0.8**4)**16 = 2.2e-4; a test measures it. Candidates of a bucket are
 verified by exact Jaccard similarity and joined by the distributed union-find; of each
 component the first line stays, by document, then line.
 
@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logloom.llm.buckets import link, star
+from logloom.llm.buckets import link, shared, stars
 from logloom.llm.scratch import Scratch
 
 BLANKS = " \t\r"
@@ -33,23 +33,21 @@ def _shingles(line: str, width: int) -> F.Column:
     return F.when(F.length(line) < width, F.array(line)).otherwise(cut)
 
 
-def _signatures(cls: DataFrame, width: int, bands: int, rows: int, reach: int = 8) -> DataFrame:
-    """``h1, h2, keys``: the band keys of each class, without an exchange of its own.
+def _signatures(line: str, width: int) -> tuple[F.Column, ...]:
+    """Three columns to be selected one after another: sorted shingle hashes ``h``, minima ``m``, band ``keys``.
 
-    One permutation: a shingle's hash picks one of ``bands * rows`` bins and competes there
-    only. Every shingle of a line takes part, and a minimum doesn't see repeats, so lines with
-    one set have one signature whatever their lengths. An empty bin takes the value of the
-    next full one among ``reach``, else the line's first.
+    One permutation: the range of the hashes is cut into 64 bins, each with its smallest
+    hash; a band key is the hash of a bin's minimum and the three that follow it (an empty bin
+    has none, the last is followed by the first). The 16 bands start at the first minimum of every four bins, in a line
+    of at most 16 minima at each of them. All of it is made inside the row: a line is one
+    row, never one row a character, and its arrays live as long as the row.
     """
-    m = bands * rows
-    wide = cls.select("h1", "h2", F.encode("f.line", "UTF-32").alias("u")).withColumn("n", F.expr(f"greatest(octet_length(u) div 4 - {width} + 1, 1)"))
-    each = wide.select("h1", "h2", "u", F.explode(F.expr("sequence(0, n - 1)")).alias("i"))
-    hashed = each.select("h1", "h2", F.expr(f"xxhash64(substring(u, 4 * i + 1, {4 * width}))").alias("v"))
-    binned = hashed.groupBy("h1", "h2", F.expr(f"cast((shiftrightunsigned(v, 32)) % {m} as int)").alias("bin")).agg(F.min("v").alias("v"))
-    one = binned.groupBy("h1", "h2").agg(*[F.min(F.expr(f"if(bin = {j}, v, null)")).alias(f"m{j}") for j in range(m)])
-    first = F.coalesce(*[F.col(f"m{j}") for j in range(m)])
-    filled = one.select("h1", "h2", first.alias("w"), *[F.coalesce(*[F.col(f"m{(j + k) % m}") for k in range(reach)]).alias(f"d{j}") for j in range(m)])
-    return filled.select("h1", "h2", F.array(*[F.xxhash64(F.lit(b), *[F.coalesce(f"d{b * rows + r}", "w") for r in range(rows)]) for b in range(bands)]).alias("keys"))
+    at = f"greatest(octet_length(u) div 4 - {width} + 1, 1)"
+    h = F.expr(f"sort_array(array_distinct(transform(sequence(0, {at} - 1), i -> xxhash64(substring(u, 4 * i + 1, {4 * width})))))")
+    m = F.expr("filter(h, (x, i) -> i = 0 OR shiftright(x, 58) <> shiftright(h[i - 1], 58))")
+    keys = F.expr("""transform(filter(sequence(0, size(m) - 1), i -> size(m) <= 16 OR i = 0 OR shiftright(m[i], 60) <> shiftright(m[i - 1], 60)),
+        i -> xxhash64(m[i], m[(i + 1) % size(m)], m[(i + 2) % size(m)], m[(i + 3) % size(m)]))""")
+    return F.encode(line, "UTF-32").alias("u"), h.alias("h"), m.alias("m"), keys.alias("keys")
 
 
 def _distances(cls: DataFrame, width: int):
@@ -64,7 +62,7 @@ def _distances(cls: DataFrame, width: int):
     return run
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 8, percent: int = 80, bands: int = 12, rows: int = 4) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 8, percent: int = 80) -> DataFrame:
     """One row a row of ``docs``: ``doc_id, n_lines, n_removed, kept`` (the remaining text)."""
     s = Scratch(docs.sparkSession, "lines")
     plain = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
@@ -72,20 +70,26 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # one aggregate of one column, so that both uses of it are the same exchange
     line = line.select(F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(7), "line").alias("h2"), F.struct("doc_id", "th", "pos", "line").alias("f"))
     cls = line.groupBy("h1", "h2").agg(F.min("f").alias("f"))
-    cls = cls.join(_signatures(cls, width, bands, rows), ["h1", "h2"], "left").select(F.struct("f.doc_id", "f.th", "f.pos").alias("first"), "f.line", "keys", F.monotonically_increasing_id().alias("id"))
+    cls = cls.select(F.struct("f.doc_id", "f.th", "f.pos").alias("first"), "f.line", F.monotonically_increasing_id().alias("id"))
+    u, h, m, keys = _signatures("line", width)
+    cls = cls.select("*", u).select("id", "first", "line", h).select("id", "first", "line", "h", m).select("id", "first", "line", F.size("h").cast("long").alias("n"), keys)
     cls = s.save("cls", cls)
     s.sweep()
-    live = s.save("live", star(cls.select("id", F.explode("keys").alias("key")), "id"))
+    live = s.save("live", shared(cls.select("id", F.explode("keys").alias("key"))))
     s.sweep()
-    ids = live.select("id").union(live.select("p")).distinct()
+    star = stars(live.join(live.groupBy("id").agg(F.sum("n").alias("score")), "id"))
+    star = s.save("stars", star)
+    ids = star.select("id").union(star.select("p")).distinct()
     near = s.save("near", cls.select("id", "line").join(ids, "id", "left_semi"))
+    s.drop("live")
     s.sweep()
-    comp = link(live, _distances(near, width), s, percent)
+    tokens = lambda some: near.join(some, "id", "left_semi").select("id", F.explode(F.array_distinct(_shingles("line", width))).alias("h")).select("id", F.xxhash64("h").alias("h"))
+    comp = link(star, _distances(near, width), tokens, cls.select("id", "n"), s, percent)
     # all classes of a component but the one whose first line comes first
     named = cls.select("id", "first").join(comp.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     kept = named.groupBy("component").agg(F.min("first").alias("first")).select("first.*")
     kept = s.save("kept", kept.groupBy("doc_id", "th").agg(F.sort_array(F.collect_list("pos")).alias("at")))
-    s.drop("cls", "near", "live")
+    s.drop("cls", "near")
     s.sweep()
     k = kept.select(F.col("doc_id").alias("kd"), F.col("th").alias("kt"), "at")
     met = plain.join(k, plain["doc_id"].eqNullSafe(k["kd"]) & (plain["th"] == k["kt"]), "left")

@@ -7,9 +7,10 @@ of one collection differ: it is missed with probability at most
 ``2*(1-s**rows)**groups`` (1e-3 at s = 0.8 with the defaults, 6e-5 at 0.85, 6e-7 at 0.9).
 
 Candidates are verified on full shingle sets. Documents with equal sets are one
-class (a hash aggregate) before any table is built. A bucket's members are compared with
-pivots, not with each other, and only across components (see ``buckets.link``); no bucket
-is expanded into all pairs, sampled or capped.
+class (a hash aggregate) before any table is built, and a key that one class has alone enters no
+pair of keys. A bucket's members are compared with its pivot, then only across components
+and within exact bounds on the partner's size (see ``buckets.link``); no bucket is expanded into
+all pairs, sampled or capped.
 
 Edge cases: null text is empty; a text without words has no shingles, is linked with
 nothing and kept; a null id takes its component from equal texts and is kept; repeated rows of one
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from logloom.llm import kernels as K
-from logloom.llm.buckets import link, star
+from logloom.llm.buckets import link, shared, stars
 from logloom.llm.scratch import Scratch, small_batches
 
 SIGNED = np.int64
@@ -88,6 +89,24 @@ def _verify(width: int):
     return run
 
 
+def _elements(width: int):
+    """mapInArrow function on (id, text): ``id, h``, one row for each element of the text's set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            buf, off = K.texts(batch.column(1))
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            for i, j in K.chunks(off):
+                h, at = K.shingles(buf[off[i] : off[j]], off[i : j + 1] - off[i], width)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[i:j], np.diff(at))), pa.array(h.view(SIGNED))], names=["id", "h"])
+
+    return run
+
+
+def _tokens(ids: DataFrame, near: DataFrame, width: int) -> DataFrame:
+    return near.join(ids.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_elements(width), "id long, h long")
+
+
 def _sets(buf: np.ndarray, off: np.ndarray, width: int) -> list[np.ndarray]:
     h, at = K.shingles(buf, off, width)
     return [h[at[i] : at[i + 1]] for i in range(len(at) - 1)]
@@ -115,20 +134,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     cls = s.save("cls", cls.withColumn("node", F.monotonically_increasing_id()))
     texts = cls.select(F.col("rep").alias("doc_id"), "th", "node")
     reps = sig.where("n > 0").join(texts, ["doc_id", "th"]).dropDuplicates(["doc_id", "th"]).select(F.col("node").alias("doc_id"), "a", "b")
-    # each class once under each of the groups**2 combined keys; a bucket of one is dropped at once
-    # in halves, so that only half of the tables' keys are on disk at a time
-    halves = []
-    for i, (start, n) in enumerate(((1, groups // 2), (groups // 2 + 1, groups - groups // 2))):
-        keyed = reps.select("doc_id", F.explode(F.slice("a", start, n)).alias("ka"), "b").select("doc_id", "ka", F.explode("b").alias("kb")).select("doc_id", F.xxhash64("ka", "kb").alias("key"))
-        halves.append(s.save(f"live{i}", star(keyed)))
-        s.sweep()
-    live = halves[0].unionByName(halves[1])
+    # of a class's keys only those that another class has go into the product of the two collections
+    one = shared(reps.select(F.col("doc_id").alias("id"), F.posexplode(F.concat("a", "b")).alias("slot", "key")))
+    one = one.groupBy("id").agg(F.sum("n").alias("score"), F.collect_list(F.when(F.col("slot") < groups, F.col("key"))).alias("a"), F.collect_list(F.when(F.col("slot") >= groups, F.col("key"))).alias("b"))
+    one = s.save("shared", one)
+    s.sweep()
+    keyed = one.select("id", "score", F.explode("a").alias("ka"), "b").select("id", "score", "ka", F.explode("b").alias("kb")).select("id", "score", F.xxhash64("ka", "kb").alias("key"))
+    star = s.save("stars", stars(keyed))
     s.sweep()
-    ids = live.select(F.col("id").alias("doc_id")).union(live.select("p")).distinct()
-    near = texts.join(ids.select(F.col("doc_id").alias("node")), "node", "left_semi")
+    ids = star.select("id").union(star.select("p")).distinct()
+    near = texts.join(ids.select(F.col("id").alias("node")), "node", "left_semi")
     near = s.save("near", plain.join(near, ["doc_id", "th"]).dropDuplicates(["doc_id", "th"]).select(F.col("node").alias("doc_id"), "text"))
     s.sweep()
-    comp = link(live, lambda pairs: _distances(pairs, near, width), s, percent)
+    comp = link(star, lambda pairs: _distances(pairs, near, width), lambda ids: _tokens(ids, near, width), cls.select(F.col("node").alias("id"), "n"), s, percent)
     both = s.save("both", cls.join(comp.withColumnRenamed("node", "c"), F.col("node") == F.col("c"), "left").select("n", "h1", "h2", "rep", F.coalesce("component", "node").alias("of")))
     named = s.save("named", both.join(both.groupBy("of").agg(F.min("rep").alias("component")), "of").select("n", "h1", "h2", "component"))
     out = sig.join(named, ["n", "h1", "h2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))

@@ -79,10 +79,43 @@ def test_empty_table_has_no_rows(spark):
     assert out.columns == ["doc_id", "n_lines", "n_removed", "kept"] and out.count() == 0
 
 
-def test_plan_stays_native_and_shuffles_lines_once(spark):
-    df = spark.createDataFrame([(1, "a line\nof text")], "doc_id long, text string")
-    cls = df.selectExpr("xxhash64(text) h1", "xxhash64(7, text) h2", "struct(text as line) f").groupBy("h1", "h2").agg(F.min("f").alias("f"))
-    both = cls.join(lines._signatures(cls, 8, 12, 4), ["h1", "h2"])
-    both.collect()
-    plan = both._jdf.queryExecution().executedPlan().toString()
-    assert "Python" not in plan and "Arrow" not in plan
+def _keys(df, width=8):
+    u, h, m, keys = lines._signatures("line", width)
+    return df.select("*", u).select("id", h).select("id", "h", m).select("id", F.size("h").alias("n"), keys)
+
+
+def test_signatures_stay_native_and_in_the_row(spark):
+    plan = _keys(spark.createDataFrame([(1, "a line")], "id long, line string"))._jdf.queryExecution().executedPlan().toString()
+    assert not [x for x in ("Exchange", "Generate", "Python", "Arrow", "Pandas") if x in plan]
+
+
+def test_recall_of_the_bands_at_the_threshold(spark):
+    rng = random.Random(5)
+    rows, k = [], 0
+    sets = lambda x: {x[i : i + 8] for i in range(max(1, len(x) - 7))}
+    while k < 3000:
+        x = "".join(rng.choice("abcdefghij klmnopqr") for _ in range(rng.choice([20, 60, 150, 400, 900])))
+        y = list(x)
+        for _ in range(max(1, round(len(x) / 9 / 8 * rng.uniform(0.6, 1.2)))):
+            y[rng.randrange(len(y))] = rng.choice("uvwxyz")
+        a, b = sets(x), sets("".join(y))
+        if 0.8 <= len(a & b) / len(a | b) <= 0.84:
+            rows += [(2 * k, x), (2 * k + 1, "".join(y))]
+            k += 1
+    keys = _keys(spark.createDataFrame(rows, "id long, line string").repartition(4)).select(F.expr("id div 2").alias("k"), "keys")
+    met = keys.groupBy("k").agg(F.arrays_overlap(F.min("keys"), F.max("keys")).alias("ok"))
+    assert met.where("NOT ok").count() <= 4
+    assert keys.agg(F.max(F.size("keys"))).first()[0] <= 16
+
+
+def test_a_family_around_the_threshold(spark):
+    rng = random.Random(9)
+    base = "".join(rng.choice("abcdefghijklmnopqrstuvw xyz") for _ in range(300))
+    rows = []
+    for d in range(70):
+        x = list(base)
+        for _ in range(rng.randint(1, 7)):
+            x[rng.randrange(len(x))] = rng.choice("0123456789")
+        rows.append((d, "".join(x)))
+    got = sorted([tuple(r) for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()], key=str)
+    assert got == brute(rows)

@@ -79,6 +79,45 @@ def test_texts_of_a_repeated_id_are_linked_each_by_itself(spark):
     assert got == [(7, 7, True), (7, 7, True), *[(k, 7, False) for k in (8, 9, 10, 11)], (12, 12, True)]
 
 
+def test_a_family_around_the_threshold(spark):
+    """Edits shared by few, outliers of all kinds and a group larger than what meets unfiltered."""
+    rng = random.Random(11)
+    words = [f"w{k}" for k in range(150)]
+    rows = []
+    for _ in range(140):
+        v = list(words)
+        for _ in range(rng.randrange(0, 22)):
+            v[rng.randrange(len(v))] = f"x{rng.randrange(40)}"
+        if rng.random() < 0.2:
+            v = v[: rng.randrange(110, 150)]
+        rows.append((len(rows), " ".join(v)))
+    for width in (2, 5):
+        want = brute(rows, width)
+        assert run(spark, rows, width) == want
+        assert len({c for _, c, _ in want.values()}) > 20
+
+
+def test_recall_of_the_tables_at_the_threshold():
+    """Share of pairs at a similarity of 0.8 to 0.81 that meet in a table."""
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(1)
+    texts = []
+    for _ in range(4000):
+        w = rng.integers(0, 1 << 40, 199).astype(str)
+        x, y = list(w[:180]), list(w[:180])
+        y[:20] = w[180:]  # 160 of 200 five-word windows and a few less
+        texts += [" ".join(x), " ".join(y)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(8000)), pa.array(texts), pa.array(range(8000))], names=["i", "t", "h"])
+    a, b = [], []
+    for out in minhash.signatures(1, 14, 4)([batch]):
+        a += out.column("a").to_pylist()
+        b += out.column("b").to_pylist()
+    met = sum(1 for k in range(0, 8000, 2) if set(a[k]) & set(a[k + 1]) and set(b[k]) & set(b[k + 1]))
+    assert met >= 0.998 * 4000
+
+
 def test_components_long_path(spark):
     n = 60
     ids = list(range(n))
