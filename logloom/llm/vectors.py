@@ -79,6 +79,8 @@ def _block(least: float, projections: int, reach: float, need: int, sub: int = 5
         x = np.array(table.column("v").to_pylist(), dtype=np.float64)
         o = np.lexsort((ids, home))
         ids, copies, home, x = ids[o], copies[o], home[o], x[o]
+        # a power of two brings the largest component near one: squares neither overflow nor vanish, and no digit changes
+        x = np.ldexp(x, -np.frexp(np.abs(x).max(axis=1))[1][:, None])
         size = np.sqrt((x * x).sum(axis=1))
         d = x.shape[1]
         g = np.random.default_rng(1234 + d).standard_normal((d, projections))

@@ -63,3 +63,24 @@ def test_threshold_count():
     assert 8 <= k <= 14
     a = np.array([[0.0], [1.0]])
     assert vectors.collisions(a, a, 0.5).tolist() == [[1, 0], [0, 1]]
+
+
+def test_vectors_of_a_repeated_id_and_extreme_components(spark):
+    rows = [(7, [1.0, 0.0]), (7, [0.0, 1.0]), (8, [1.0, 0.001]), (9, [0.001, 1.0]), (20, [1e200, 1e200]), (21, [1e-200, 1e-200]), (22, [3e300, 3.01e300]), (23, [1e-300, -1e-300])]
+    df = spark.createDataFrame([(i, v, 1) for i, v in rows], "vec_id long, embedding array<double>, label int")
+    got = sorted((r.vec_id, r.n_links, r.component_id) for r in vectors.near_vectors(df).collect())
+    assert got == [(7, 1, 7), (7, 1, 7), (8, 1, 7), (9, 1, 7), (20, 2, 20), (21, 2, 20), (22, 2, 20), (23, 0, 23)]
+
+
+def test_recall_at_the_threshold():
+    """Of pairs with a cosine just above the threshold in 64 dimensions, as many collide often enough as planned."""
+    rng = np.random.default_rng(2)
+    n, d, least, reach = 4000, 64, 0.98, 1.5
+    x = rng.standard_normal((n, d))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    y = rng.standard_normal((n, d))
+    y -= (x * y).sum(axis=1)[:, None] * x
+    y = least * x + math.sqrt(1 - least**2) * y / np.linalg.norm(y, axis=1)[:, None]
+    g = rng.standard_normal((d, 24))
+    met = (np.abs(x @ g - y @ g) <= reach * math.sqrt(2 - 2 * least)).sum(axis=1)
+    assert (met >= vectors.needed(24, reach, 1 - 1e-6)).mean() >= 0.999
