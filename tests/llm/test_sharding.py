@@ -29,6 +29,46 @@ def test_commit_is_exclusive(spark):
     assert store.version() == 1
 
 
+def test_two_writers_from_one_version(spark):
+    """Both wrote their data; the second to publish fails and changes nothing."""
+    root = Scratch(spark, "t").root
+    a, b = sharding.ShardStore(spark, root), sharding.ShardStore(spark, root)
+    a.append(spark.createDataFrame([(1, "one")], "doc_id long, text string"), 10)
+    b.version = lambda: 0
+    with pytest.raises(RuntimeError):
+        b.append(spark.createDataFrame([(2, "two")], "doc_id long, text string"), 10)
+    assert a.version() == 1 and [r.doc_id for r in a.read().collect()] == [1]
+
+
+def test_a_job_that_died_before_its_commit_is_repeated(spark):
+    store = sharding.ShardStore(spark, Scratch(spark, "t").root)
+    docs = spark.createDataFrame([(k, "x" * 100) for k in range(30)] + [(31, None), (32, "y" * 5000)], "doc_id long, text string")
+    commit, store.commit = store.commit, lambda *a: 1 / 0
+    for _ in range(2):
+        with pytest.raises(ZeroDivisionError):
+            store.append(docs, 500)
+    store.commit = commit
+    store.append(docs, 500)
+    store.commit = lambda *a: 1 / 0
+    with pytest.raises(ZeroDivisionError):
+        store.compact(2000, 500)
+    store.commit = commit
+    assert store.compact(2000, 500) == 2
+    assert sorted(r.doc_id for r in store.read().collect()) == [*range(30), 31, 32]
+
+
+def test_old_versions_are_read_until_vacuum_drops_them(spark):
+    store = sharding.ShardStore(spark, Scratch(spark, "t").root)
+    store.append(spark.createDataFrame([(k, "x" * 100) for k in range(30)], "doc_id long, text string"), 500)
+    store.compact(2000, 500)
+    store.vacuum()
+    assert {r.doc_id for r in store.read(1).collect()} == {r.doc_id for r in store.read(2).collect()} == set(range(30))
+    store.vacuum(1, 0)
+    assert store._versions() == [2] and store.read().count() == 30
+    with pytest.raises(Exception, match="v1"):
+        store.read(1).count()
+
+
 def test_empty(spark):
     store = sharding.shard(spark.createDataFrame([], "doc_id long, text string"))
     assert store.read().count() == 0
