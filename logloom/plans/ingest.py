@@ -32,8 +32,9 @@ class Options:
 
 
 def to_events(lines: DataFrame, options: Options | None = None) -> DataFrame:
-    """Events of rows with ``seq, raw``; a projection without a shuffle."""
+    """Events of rows with ``seq, raw`` (text or bytes); a projection without a shuffle."""
     o = options or Options()
+    lines = lines.withColumn("raw", F.col("raw").cast("string"))
     d = parse(sanitise(lines, "raw", o.max_line), "clean", o.now, o.zone)
     return enrich(d, o.canaries, o.sigma, o.now, keep_raw=o.keep_raw)
 

@@ -20,8 +20,12 @@ def read_lines(spark: SparkSession, path: str, most: int = MAX_LINE) -> DataFram
 
 
 def clip(df: DataFrame, most: int = MAX_LINE, col: str = "value") -> DataFrame:
-    line = F.regexp_replace(F.col(col), r"[\r\n]+\z", "")
-    raw = F.when(F.octet_length(line) > most, F.substring(line.cast("binary"), 1, most).cast("string")).otherwise(line)
+    """Bytes stay as they are: a text function would rewrite those that are no UTF-8, which the sanitiser and the fingerprint must see."""
+    data = F.col(col).cast("binary")
+    # one character a byte, so that the length without line ends is a number of bytes
+    end = F.length(F.rtrim(F.decode(data, "ISO-8859-1"), F.lit("\r\n")))
+    n = F.when(F.substring(data, -1, 1).isin(b"\r", b"\n"), end).otherwise(F.octet_length(F.col(col)))
+    raw = F.substring(data, F.lit(1), F.least(n, F.lit(most))).cast("string")
     return df.withColumn("raw", raw).drop(col).where(F.trim("raw", F.lit(" \t\r\n\x0b\x0c")) != "")
 
 

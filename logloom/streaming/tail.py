@@ -3,7 +3,8 @@
 Spark's file source sees new files, not appended bytes. The offset is (inode, byte, seq);
 a replaced or truncated file is read from its start, a missing one is waited for, and an
 unfinished last line stays for the next batch. Lines are split at line feeds only and cut
-to ``max_line`` bytes; blank ones are skipped and take no sequence number.
+to ``max_line`` bytes; blank ones are skipped and take no sequence number. ``raw`` is binary, so that
+bytes that are no UTF-8 reach the sanitiser.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ class TailSource(DataSource):
         return "tail"
 
     def schema(self) -> str:
-        return "seq bigint, raw string"
+        return "seq bigint, raw binary"
 
     def simpleStreamReader(self, schema) -> SimpleDataSourceStreamReader:
         return TailReader(self.options)
@@ -41,7 +42,7 @@ class TailReader(SimpleDataSourceStreamReader):
         st = os.stat(self.path)
         return {"inode": st.st_ino, "byte": st.st_size, "seq": 0}
 
-    def _scan(self, start: dict, stop: dict | None) -> tuple[list[tuple[int, str]], dict]:
+    def _scan(self, start: dict, stop: dict | None) -> tuple[list[tuple[int, bytes]], dict]:
         try:
             f = open(self.path, "rb")
         except FileNotFoundError:
@@ -63,7 +64,7 @@ class TailReader(SimpleDataSourceStreamReader):
             for line in data[:end].split(b"\n")[:-1]:
                 line = line.rstrip(b"\r")
                 if line.strip():
-                    rows.append((seq, line[: self.most].decode("utf-8", "replace")))
+                    rows.append((seq, line[: self.most]))
                     seq += 1
             return rows, {"inode": st.st_ino, "byte": at + end, "seq": seq}
 
