@@ -6,7 +6,8 @@ the engine's rewriting, so they are independent of it.
 
 from __future__ import annotations
 
-from logloom.plans.queries import LINE
+from logloom.operators.rules import RULES
+from logloom.plans.queries import ENVELOPE, LINE, SAMPLES
 
 # message is all that follows "time host process[pid]: "
 EVENTS = rf"""
@@ -63,7 +64,32 @@ SPACE = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{
 VECTORS = "SELECT a.vec_id AS query_id, b.vec_id, b.label, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS s FROM embeddings a, embeddings b WHERE a.vec_id % 100 = 0"
 DECIDED = """, c AS (SELECT seq, rule, source_ip, score, CASE WHEN source_ip = '' THEN 'invalid IP address' WHEN source_ip IN ('203.0.113.0', '203.0.113.1', '203.0.113.2', '203.0.113.3') AND {allow} THEN 'target is allowlisted' WHEN score < 38 THEN 'score below threshold' END AS why FROM v)"""
 
+_q = lambda s: "'" + s.replace("'", "''") + "'"
+# the patterns as they are written, by RE2
+VERDICT = "CASE " + " ".join(f"WHEN {'p IN (' + ', '.join(map(_q, r.process)) + ') AND ' if r.process else ''}regexp_matches(m, {_q(r.pattern)}) THEN {_q(r.name)}" for r in RULES) + " ELSE '' END"
+OF_RULE = lambda c, other: "CASE rule " + " ".join(f"WHEN {_q(r.name)} THEN {_q(getattr(r, c))}" for r in RULES) + f" ELSE {_q(other)} END"
+
 ORACLE = {
+    "byte_lines": EVENTS + r""", h AS (SELECT seq, strlen(raw) AS n, regexp_replace(hex(encode(raw)) || CASE seq % 5 WHEN 0 THEN 'FFFE' WHEN 1 THEN '0D' WHEN 2 THEN 'C30D0D' WHEN 3 THEN 'E38182' ELSE '' END, '(0D)+$', '') AS x FROM l)
+        SELECT seq, CASE seq % 5 WHEN 0 THEN n < 90 WHEN 2 THEN n < 90 WHEN 3 THEN n IN (88, 89) ELSE false END AS san_invalid_utf8, sha256(unhex(left(x, 180))) AS raw_sha256, length(left(x, 180)) // 2 AS n_bytes FROM h""",
+    "capped": """WITH t AS (SELECT doc_id, coalesce(text, '') AS t FROM documents) SELECT doc_id, CASE WHEN strlen(t) <= 60 THEN t ELSE left(t, list_max(list_filter(range(0, 47), lambda k: strlen(left(t, k)) <= 46))) || '…[truncated]' END AS capped FROM t""",
+    "envelopes": f"""WITH e AS (SELECT *, strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') AS iso, '' AS bsd, event_id % 5 AS k FROM events)
+        SELECT event_id AS seq, CASE k WHEN 0 THEN 'rfc5424' WHEN 1 THEN 'rfc3164' ELSE 'raw' END AS format, CASE k WHEN 0 THEN 'auth' WHEN 1 THEN 'user' ELSE '' END AS facility, CASE k WHEN 0 THEN 2 WHEN 1 THEN 5 ELSE -1 END::BIGINT AS level,
+        CASE WHEN k < 2 THEN 'host' || user_id % 5 ELSE '' END AS host, CASE k WHEN 0 THEN 'app' WHEN 1 THEN 'cron' WHEN 3 THEN 'app' ELSE '' END AS process, CASE k WHEN 0 THEN 77 WHEN 1 THEN event_id % 900 + 1 WHEN 3 THEN event_id % 900 + 1 ELSE 0 END::BIGINT AS pid,
+        CASE k WHEN 2 THEN 'odd ' WHEN 4 THEN 'plain ' ELSE '' END || 'value ' || event_id AS message, CASE k WHEN 0 THEN epoch_us(ts) WHEN 1 THEN epoch_us(date_trunc('second', ts)) END AS us FROM e""",
+    "rule_catalog": f"""WITH s AS (SELECT * FROM (VALUES {', '.join(f'({k}, {_q(p)}, {_q(m)})' for k, (p, m) in enumerate(SAMPLES))}) t(k, p, m)), r AS (SELECT event_id AS seq, {VERDICT} AS rule FROM events JOIN s ON event_id % {len(SAMPLES)} = k)
+        SELECT seq, rule, {OF_RULE('category', 'uncategorised')} AS category, {OF_RULE('outcome', '')} AS outcome FROM r""",
+    "ip6_scope": """WITH e AS (SELECT event_id, lower(to_hex(event_id % 65536)) AS x, lower(to_hex(event_id % 65536 + 1)) AS y, event_id % 6 AS k FROM events)
+        SELECT event_id, CASE k WHEN 0 THEN '::1' WHEN 1 THEN 'fe80::' || x WHEN 2 THEN 'fd12:3::' || x WHEN 3 THEN '2a00:1450::' || x WHEN 4 THEN 'ff0e::' || y ELSE '::' END AS ip, CASE k WHEN 0 THEN 'loopback' WHEN 1 THEN 'link-local' WHEN 2 THEN 'private' WHEN 3 THEN 'public' WHEN 4 THEN 'multicast' ELSE 'unspecified' END AS scope FROM e""",
+    "event_signals": EVENTS + """SELECT count(*) AS event_count, count(*) FILTER (severity = 'critical') AS critical, count(*) FILTER (severity = 'high') AS high, count(*) FILTER (severity = 'warning') AS warning, count(*) FILTER (severity = 'notice') AS notice, count(*) FILTER (severity = 'info') AS info,
+        max(score) AS peak_score, (SELECT rule FROM v ORDER BY score DESC, seq LIMIT 1) AS peak_rule, 0::BIGINT AS incidents, count(DISTINCT source_ip) FILTER (source_ip <> '') AS sources, 0::BIGINT AS sanitised FROM v""",
+    "event_lookup": EVENTS + "SELECT seq, rule, sha256(raw) AS raw_sha256 FROM v WHERE rule = 'new_user_created'",
+    "event_news": EVENTS + "SELECT seq, rule FROM v WHERE outcome <> 'failure'",
+    "anomaly_cooled": EVENTS + DIMS + """SELECT dim || '=' || value AS key, CASE WHEN baseline_count = 0 THEN 'novel' WHEN spike >= rarity AND spike > 0 THEN 'spike' ELSE 'rare' END AS kind FROM a WHERE greatest(rarity, spike) >= 3.0 AND dim <> 'hour'""",
+    "language_floor": """WITH d AS (SELECT doc_id, lang, (doc_id * 7919 % 10007) / 10007.0 AS s FROM documents), r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY s DESC, doc_id::VARCHAR) AS n FROM d), k AS (SELECT * FROM r WHERE lang IN ('fr', 'de') AND n <= 2),
+        o AS (SELECT * FROM r WHERE NOT coalesce(lang IN ('fr', 'de') AND n <= 2, false) ORDER BY s DESC, doc_id::VARCHAR LIMIT 10 - (SELECT count(*) FROM k)) SELECT doc_id::VARCHAR AS doc_id, lang, round(s, 6) AS score FROM (SELECT * FROM k UNION ALL SELECT * FROM o)""",
+    "language_mix": "SELECT lang, 'advisory' AS doc_type, count(*) AS n FROM documents GROUP BY lang",
+    "ingest_stats": EVENTS + """SELECT count(*) AS events, 0::BIGINT AS incidents, 0::BIGINT AS sanitised, 0::BIGINT AS unparsed, count(*) FILTER (contains(message, '/srv/data/f13') OR contains(message, 'user7')) AS canaries FROM v""",
     "rule_verdict": EVENTS + 'SELECT seq, rule, category, score, severity, outcome, source_ip, dest_ip, source_port, dest_port, "user", n_tags, sha256(raw) AS raw_sha256 FROM v',
     "parse_envelope": EVENTS + "SELECT seq, 'iso8601' AS format, host, process, coalesce(try_cast(pid AS BIGINT), 0) AS pid, message, epoch_us(ts) AS us FROM v",
     "severity_histogram": EVENTS + "SELECT severity, category, count(*) AS n, sum(score)::BIGINT AS total FROM v GROUP BY ALL",

