@@ -27,10 +27,9 @@ from logloom.llm.scratch import Scratch
 BLANKS = " \t\r"
 
 
-def _shingles(line: str, width: int) -> F.Column:
-    """The shingles of a line as strings, by one pattern (a lambda over positions takes 15 times as long)."""
-    cut = F.regexp_extract_all(line, F.lit(rf"(?s)(?![\x{{DC00}}-\x{{DFFF}}])(?=(.{{{width}}}))"), F.lit(1))
-    return F.when(F.length(line) < width, F.array(line)).otherwise(cut)
+def _set(u: str, width: int) -> F.Column:
+    """Distinct shingle hashes (64 bits) of a line in UTF-32, four bytes a character."""
+    return F.expr(f"array_distinct(transform(sequence(1, greatest(octet_length({u}) - {4 * width - 1}, 1), 4), i -> xxhash64(substring({u}, i, {4 * width}))))")
 
 
 def _signatures(line: str, width: int) -> tuple[F.Column, ...]:
@@ -42,8 +41,7 @@ def _signatures(line: str, width: int) -> tuple[F.Column, ...]:
     of at most 16 minima at each of them. All of it is made inside the row: a line is one
     row, never one row a character, and its arrays live as long as the row.
     """
-    at = f"greatest(octet_length(u) div 4 - {width} + 1, 1)"
-    h = F.expr(f"sort_array(array_distinct(transform(sequence(0, {at} - 1), i -> xxhash64(substring(u, 4 * i + 1, {4 * width})))))")
+    h = F.sort_array(_set("u", width))
     m = F.expr("filter(h, (x, i) -> i = 0 OR shiftright(x, 58) <> shiftright(h[i - 1], 58))")
     keys = F.expr("""transform(filter(sequence(0, size(m) - 1), i -> size(m) <= 16 OR i = 0 OR shiftright(m[i], 60) <> shiftright(m[i - 1], 60)),
         i -> xxhash64(m[i], m[(i + 1) % size(m)], m[(i + 2) % size(m)], m[(i + 3) % size(m)]))""")
@@ -55,7 +53,8 @@ def _distances(cls: DataFrame, width: int):
 
     def run(pairs: DataFrame) -> DataFrame:
         both = pairs.join(t.select(F.col("id").alias("y"), F.col("line").alias("ly")), "y").join(t.select(F.col("id").alias("x"), F.col("line").alias("lx")), "x")
-        sets = both.select("x", "y", F.array_distinct(_shingles("lx", width)).alias("a"), F.array_distinct(_shingles("ly", width)).alias("b"))
+        wide = both.select("x", "y", F.encode("lx", "UTF-32").alias("ux"), F.encode("ly", "UTF-32").alias("uy"))
+        sets = wide.select("x", "y", _set("ux", width).alias("a"), _set("uy", width).alias("b"))
         n = sets.select("x", "y", F.size(F.array_intersect("a", "b")).cast("long").alias("both"), (F.size("a") + F.size("b")).cast("long").alias("total"))
         return n.select("x", "y", "both", (F.col("total") - F.col("both")).alias("either"))
 
@@ -83,7 +82,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     near = s.save("near", cls.select("id", "line").join(ids, "id", "left_semi"))
     s.drop("live")
     s.sweep()
-    tokens = lambda some: near.join(some, "id", "left_semi").select("id", F.explode(F.array_distinct(_shingles("line", width))).alias("h")).select("id", F.xxhash64("h").alias("h"))
+    tokens = lambda some: near.join(some, "id", "left_semi").select("id", F.encode("line", "UTF-32").alias("u")).select("id", F.explode(_set("u", width)).alias("h"))
     comp = link(star, _distances(near, width), tokens, cls.select("id", "n"), s, percent)
     # all classes of a component but the one whose first line comes first
     named = cls.select("id", "first").join(comp.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
