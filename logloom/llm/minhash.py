@@ -123,7 +123,7 @@ def _common(a: np.ndarray, b: np.ndarray) -> int:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, groups: int = 14, rows: int = 4) -> DataFrame:
-    """One row a document: ``doc_id, n_shingles, component_id, kept``."""
+    """One row a document: ``doc_id, n_shingles, component_id, kept`` and ``text_hash``, the text's xxhash64, which tells rows of one id apart."""
     spark = docs.sparkSession
     small_batches(spark)
     s = Scratch(spark, "minhash")
@@ -149,8 +149,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     comp = link(star, lambda pairs: _distances(pairs, near, width), lambda ids: _tokens(ids, near, width), cls.select(F.col("node").alias("id"), "n"), s, percent)
     both = s.save("both", cls.join(comp.withColumnRenamed("node", "c"), F.col("node") == F.col("c"), "left").select("n", "h1", "h2", "rep", F.coalesce("component", "node").alias("of")))
     named = s.save("named", both.join(both.groupBy("of").agg(F.min("rep").alias("component")), "of").select("n", "h1", "h2", "component"))
-    out = sig.join(named, ["n", "h1", "h2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    out = sig.join(named, ["n", "h1", "h2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"), F.col("th").alias("text_hash"))
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))).select("doc_id", "n_shingles", "component_id", "kept", "text_hash")
 
 
 def _distances(pairs: DataFrame, plain: DataFrame, width: int) -> DataFrame:

@@ -46,7 +46,7 @@ def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicates(_read(spark, sf_dir, "documents"), width=2, percent=80)
+    return minhash.near_duplicates(_read(spark, sf_dir, "documents"), width=2, percent=80).drop("text_hash")
 
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
