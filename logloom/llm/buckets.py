@@ -36,11 +36,6 @@ def stars(keyed: DataFrame) -> DataFrame:
     return keyed.join(best, "key").where("p <> id").select("p", "id").distinct()
 
 
-def _split(named: DataFrame) -> DataFrame:
-    """The groups with members of several components."""
-    return named.join(named.groupBy("p").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("p"), "p", "left_semi")
-
-
 def _met(named: DataFrame, tokens: Callable[[DataFrame], DataFrame], sizes: DataFrame, s: Scratch, percent: int) -> DataFrame:
     """Pairs (x, y) of a large group in different components that may reach the threshold.
 
@@ -58,10 +53,12 @@ def _met(named: DataFrame, tokens: Callable[[DataFrame], DataFrame], sizes: Data
     rank = F.row_number().over(mine.orderBy("k", "h")) + F.col("n") - F.count("*").over(mine)
     most = F.floor((F.col("n") - F.col("r") + 1) * (100 + percent) / percent + 1e-6) - F.col("n")
     index = rows.join(often, ["p", "h"]).withColumn("r", rank).withColumn("most", most)
+    # one row a group, as a table: a join with an aggregate of its own key couldn't split the rows of a large group
     least = sizes.join(named.select("p", "id"), "id").groupBy("p").agg(F.min("n").alias("least"))
-    index = s.save("index", index.join(least, "p").where("most >= least").select("p", "h", "id", "c", "n", "most"))
     largest = named.groupBy("p", "c").agg(F.count("*").alias("k")).groupBy("p").agg(F.max(F.struct("k", "c")).alias("m")).select("p", F.col("m.c").alias("main"))
-    few = index.join(largest, "p").where("c <> main").select("p", "h", F.col("id").alias("q"), F.col("c").alias("qc"), F.col("n").alias("qn"), F.col("most").alias("qmost"))
+    facts = s.save("facts", least.join(largest, "p"))
+    index = s.save("index", index.join(facts.select("p", "least"), "p").where("most >= least").select("p", "h", "id", "c", "n", "most"))
+    few = index.join(facts.select("p", "main"), "p").where("c <> main").select("p", "h", F.col("id").alias("q"), F.col("c").alias("qc"), F.col("n").alias("qn"), F.col("most").alias("qmost"))
     return index.join(few, ["p", "h"]).where("c <> qc AND n <= qmost AND qn <= most").select(F.least("q", "id").alias("x"), F.greatest("q", "id").alias("y")).distinct()
 
 
@@ -83,10 +80,13 @@ def link(star: DataFrame, distances: Callable[[DataFrame], DataFrame], tokens: C
     comp = components(links, s, "cc0")
     s.sweep()
     named = star.join(comp.withColumnRenamed("node", "id"), "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
-    named = s.save("split", _split(named))
-    if named.isEmpty():
+    named = s.save("members", named)
+    # the groups with members of several components
+    groups = named.groupBy("p").agg(F.count("*").alias("k"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("p", "k")
+    groups = s.save("groups", groups)
+    if groups.isEmpty():
         return comp
-    sized = named.join(named.groupBy("p").agg(F.count("*").alias("k")), "p")
+    sized = named.join(groups, "p")
     small, large = sized.where(f"k <= {SMALL}").drop("k"), s.save("large", sized.where(f"k > {SMALL}").drop("k"))
     other = small.select("p", F.col("id").alias("q"), F.col("c").alias("qc"))
     pairs = small.join(other, "p").where("id < q AND c <> qc").select(F.col("id").alias("x"), F.col("q").alias("y")).distinct()
