@@ -23,9 +23,9 @@ anchor are a contiguous range of starts, and every window belongs to one anchor.
 
 Texts are UTF-8 bytes; null is empty and matches never cross documents. Windows are
 judged on the input. Empty and short texts keep all bytes. Every row is a document, so
-repeated rows of one id repeat each other and lose all that is long enough; an id whose
-rows differ loses the union of their ranges in each. A row without an id keeps all
-bytes and is compared with nothing. Extra columns are ignored.
+repeated rows of one id repeat each other and lose all that is long enough; texts of one id
+that differ are told apart by a 64-bit hash of id and text, and rows without an id are
+documents like others. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -323,8 +323,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spark = docs.sparkSession
     small_batches(spark, 128)
     s = Scratch(spark, "suffix")
-    plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    cut = s.save("cut", plain.where("doc_id IS NOT NULL").mapInArrow(_cut(span, gram), ANCHORS))
+    # until the end a document goes by the hash of its id and text, so texts of one id, or of none, are documents of their own
+    plain = docs.select(F.col(id_col).cast("long").alias("own"), F.col(text_col).alias("text")).withColumn("doc_id", F.xxhash64("own", "text"))
+    cut = s.save("cut", plain.select("doc_id", "text").mapInArrow(_cut(span, gram), ANCHORS))
     heads = cut.where("lo < 0").select("doc_id", "n_bytes", "sha")
     a = cut.where("lo >= 0").select("doc_id", "lo", "wins", "off", "h", "f")
     grams = s.save("grams", a.groupBy("h").count().where("count > 1").select("h"))
@@ -354,11 +355,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spans = s.save("spans", spans.groupBy("doc_id").agg(F.collect_list(F.struct("s", "e")).alias("spans")))
     s.drop("contexts", "found")
     s.sweep()
-    changed = plain.join(spans, "doc_id").select("doc_id", "text", "spans").mapInArrow(_remove, OUT)
+    changed = plain.join(spans, "doc_id").select(F.col("own").alias("doc_id"), "text", "spans").mapInArrow(_remove, OUT)
     if texts:
-        same = plain.join(spans, "doc_id", "left_anti").select("doc_id", F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("kept"))
+        same = plain.join(spans, "doc_id", "left_anti").select(F.col("own").alias("doc_id"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("kept"))
         same = same.select("doc_id", F.length("kept").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), "kept")
         return changed.unionByName(same)
-    lone = plain.where("doc_id IS NULL").select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), F.sha2(F.coalesce(F.col("text").cast("binary"), F.lit(b"")), 256).alias("sha"))
-    same = heads.join(spans, "doc_id", "left_anti").unionByName(lone).select("doc_id", "n_bytes", F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.col("sha").alias("kept_sha256"))
+    names = plain.select("doc_id", "own").distinct()
+    same = heads.join(spans, "doc_id", "left_anti").join(names, "doc_id").select(F.col("own").alias("doc_id"), "n_bytes", F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.col("sha").alias("kept_sha256"))
     return changed.drop("kept").unionByName(same)

@@ -61,8 +61,14 @@ def test_edges(spark):
     assert run(spark, [], texts=False) == []
     got = run(spark, [(1, "k" * 300), (1, "k" * 300)], texts=False)
     assert [r[2] for r in got] == [300, 300]
-    df = spark.createDataFrame([(None, "m" * 300)], "doc_id long, text string")
-    assert suffix.remove_repeats(df, texts=False).first().n_removed == 0
+    rng = random.Random(1)
+    text = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    a, b, c = text(300), text(250), text(400)
+    rows = [(None, text(50) + a), (None, a + text(90)), (7, text(300) + b), (7, c + text(10)), (8, b), (9, text(20) + c + text(30)), (None, None), (7, text(700))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for texts in (False, True):
+        got = suffix.remove_repeats(df, texts=texts).collect()
+        assert sorted((str(r.doc_id), r.n_bytes, r.n_removed) for r in got) == sorted((str(d), len(t or ""), n) for (d, t), n in zip(rows, (300, 300, 250, 400, 250, 400, 0, 0)))
 
 
 def test_multikey_sort_orders_and_marks_ties():
