@@ -5,7 +5,7 @@ before anything else, so a line in a third of all documents is one row. A class'
 its distinct ``width``-character shingles (a shorter line is one shingle), cut from UTF-32,
 where every position is reached in constant time, and hashed inside the row. The band
 keys come from one permutation (see ``_signatures``), on the partitioning of the class
-aggregate, so no signature is shuffled. With all bins full, a pair at similarity 0.8 shares no
+aggregate, so no signature is shuffled. With 64 minima, a pair at similarity 0.8 shares no
 band with probability (1 - 0.8**4)**16 = 2.2e-4; a test measures it. Candidates of a bucket are
 verified by exact Jaccard similarity and joined by the distributed union-find; of each
 component the first line stays, by document, then line.
@@ -21,30 +21,34 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logloom.llm.buckets import link, shared, stars
+from logloom.llm.buckets import link, stars
 from logloom.llm.scratch import Scratch
 
 BLANKS = " \t\r"
 
 
 def _set(u: str, width: int) -> F.Column:
-    """Distinct shingle hashes (64 bits) of a line in UTF-32, four bytes a character."""
-    return F.expr(f"array_distinct(transform(sequence(1, greatest(octet_length({u}) - {4 * width - 1}, 1), 4), i -> xxhash64(substring({u}, i, {4 * width}))))")
+    """Distinct shingle hashes (64 bits) of a line in UTF-32, four bytes a character.
+
+    An array of one binds the bytes, which would else be copied out of the row for every position.
+    """
+    at = f"sequence(1, greatest(octet_length(b) - {4 * width - 1}, 1), 4)"
+    return F.expr(f"array_distinct(transform(array({u}), b -> transform({at}, i -> xxhash64(substring(b, i, {4 * width}))))[0])")
 
 
 def _signatures(line: str, width: int) -> tuple[F.Column, ...]:
     """Three columns to be selected one after another: sorted shingle hashes ``h``, minima ``m``, band ``keys``.
 
-    One permutation: the range of the hashes is cut into 64 bins, each with its smallest
-    hash; a band key is the hash of a bin's minimum and the three that follow it (an empty bin
-    has none, the last is followed by the first). The 16 bands start at the first minimum of every four bins, in a line
+    One permutation: ``m`` are the 64 smallest hashes, which two sets share like the sets themselves, put in the order of
+    their low bits; a band key is the hash of one of them and the three that follow it (the
+    last is followed by the first). The 16 bands start at the first minimum of every value of four bits, in a line
     of at most 16 minima at each of them. All of it is made inside the row: a line is one
     row, never one row a character, and its arrays live as long as the row.
     """
     h = F.sort_array(_set("u", width))
-    m = F.expr("filter(h, (x, i) -> i = 0 OR shiftright(x, 58) <> shiftright(h[i - 1], 58))")
-    keys = F.expr("""transform(filter(sequence(0, size(m) - 1), i -> size(m) <= 16 OR i = 0 OR shiftright(m[i], 60) <> shiftright(m[i - 1], 60)),
-        i -> xxhash64(m[i], m[(i + 1) % size(m)], m[(i + 2) % size(m)], m[(i + 3) % size(m)]))""")
+    m = F.expr("sort_array(transform(slice(h, 1, 64), x -> shiftleft(x, 60) | shiftrightunsigned(x, 4)))")
+    keys = F.expr("""transform(array(m), m -> transform(filter(sequence(0, size(m) - 1), i -> size(m) <= 16 OR i = 0 OR shiftright(m[i], 60) <> shiftright(m[i - 1], 60)),
+        i -> xxhash64(m[i], m[(i + 1) % size(m)], m[(i + 2) % size(m)], m[(i + 3) % size(m)])))[0]""")
     return F.encode(line, "UTF-32").alias("u"), h.alias("h"), m.alias("m"), keys.alias("keys")
 
 
@@ -74,7 +78,11 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     cls = cls.select("*", u).select("id", "first", "line", h).select("id", "first", "line", "h", m).select("id", "first", "line", F.size("h").cast("long").alias("n"), keys)
     cls = s.save("cls", cls)
     s.sweep()
-    live = s.save("live", shared(cls.select("id", F.explode("keys").alias("key"))))
+    # counts first, as a table: their exchange is gone before that of the join is written
+    keyed = cls.select("id", F.explode("keys").alias("key"))
+    often = s.save("often", keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
+    s.sweep()
+    live = s.save("live", keyed.join(often, "key"))
     s.sweep()
     star = stars(live.join(live.groupBy("id").agg(F.sum("n").alias("score")), "id"))
     star = s.save("stars", star)

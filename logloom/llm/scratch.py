@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -46,9 +47,15 @@ class Scratch:
             p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
 
     def sweep(self) -> None:
-        """Let Spark's cleaner see dead shuffles now rather than at the next full collection."""
+        """Let Spark's cleaner see dead shuffles now rather than at the next full collection.
+
+        A shuffle's handle becomes unreachable only when what the first collection found has been
+        dealt with, so a second one follows.
+        """
         gc.collect()
         self.spark._jvm.System.gc()
+        time.sleep(0.2)
+        self.spark._jvm.System.gc()
 
 
 def partitions(spark: SparkSession) -> int:
