@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+import re
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +21,38 @@ def authorised(rows: DataFrame, revoked: DataFrame | None = None, allowed: list[
     return d
 
 
+class Revocations:
+    """A deny list ``{"revoked": [{"name", "fingerprint"}]}`` in a file, read anew whenever rows are judged.
+
+    Without the file nobody is revoked; from a malformed file nothing is taken, so that what was
+    read last still holds and a broken write admits nobody.
+    """
+
+    def __init__(self, path: str):
+        self.path = Path(path)
+        self.names: frozenset[str] = frozenset()
+        self.prints: frozenset[str] = frozenset()
+
+    def read(self) -> None:
+        listed: list[dict] = []
+        try:
+            found = json.loads(self.path.read_bytes())
+        except OSError:
+            found = {}
+        except ValueError:
+            return
+        if isinstance(found, dict) and isinstance(found.get("revoked"), list):
+            listed = [e for e in found["revoked"] if isinstance(e, dict)]
+        self.names = frozenset(str(e["name"]) for e in listed if e.get("name"))
+        self.prints = frozenset(re.sub("[: ]", "", str(e["fingerprint"])).lower() for e in listed if e.get("fingerprint"))
+
+    def denies(self, name: str = "probe", fingerprint: str = "fingerprint") -> Column:
+        """Whether a row's probe is revoked now, by its name or by its fingerprint however that is punctuated."""
+        self.read()
+        bare = F.lower(F.translate(F.coalesce(fingerprint, F.lit("")), ": ", ""))
+        return F.coalesce(F.col(name).isin(*sorted(self.names)), F.lit(False)) | bare.isin(*sorted(self.prints))
+
+
 def mismatch(probe: str = "probe") -> Column:
     return (F.coalesce("host", F.lit("")) != "") & (F.col("host") != F.col(probe))
 

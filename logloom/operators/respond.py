@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import ipaddress
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from logloom.functions import ip
 
+AUDIT = "at timestamp, source_ip string, score int, rule string, allowed boolean, reason string"
+
 # The order of the checks and their words, the least score, the blocks an hour, the most of one run.
 MIN_SCORE, PER_HOUR, PER_RUN = 90, 20, 5
 INVALID, DISABLED, ALLOWED, NO_HOST, LOW, RATE = "invalid IP address", "active response is disabled", "target is allowlisted", "target is not a unicast host address", "score below threshold", "rate limit reached"
@@ -76,5 +78,16 @@ def status(audit: DataFrame, now, hours: int = 1) -> DataFrame:
     return audit.agg(n(F.col("allowed") & recent)("blocks_last_hour"), F.count("*").alias("decisions"), n(~F.col("allowed"))("refused"))
 
 
+def append(decisions: DataFrame, at: Column, path: str) -> None:
+    """Adds every decision, refusals too, to the audit as lines of JSON; what stands there is never rewritten."""
+    decisions.select(at.alias("at"), F.col("source_ip"), F.col("score").cast("int").alias("score"), "rule", "allowed", "reason").write.mode("append").json(path)
+
+
+def read_audit(spark: SparkSession, path: str) -> DataFrame:
+    """The audit's rows; lines that aren't JSON objects are skipped."""
+    line = spark.read.text(path).withColumn("_v", F.try_parse_json("value")).where("_v IS NOT NULL AND startswith(schema_of_variant(_v), 'OBJECT')")
+    return line.select(F.from_json("value", AUDIT).alias("r")).select("r.*")
+
+
 def history(audit: DataFrame, n: int = 50) -> DataFrame:
     return audit.orderBy(F.col("at").desc()).limit(n)

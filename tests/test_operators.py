@@ -7,7 +7,7 @@ from datetime import datetime, timedelta, timezone
 import pytest
 from pyspark.sql import functions as F
 
-from logloom.operators import anomaly, buffer, chunk, correlate, graph, respond, retrieve, sigma
+from logloom.operators import anomaly, buffer, chunk, correlate, fleet, graph, respond, retrieve, sigma
 from logloom.operators.canary import Canaries, collisions
 from logloom.operators.privacy import Pseudonyms
 from logloom.sources import advisories
@@ -262,6 +262,59 @@ def test_alerts(spark):
     assert A.clamp_severity("critical", "notice") == "warning" and A.extract_json('x {bad} {"a": "}"}') == {"a": "}"}
 
 
+def test_prompt_budget(spark):
+    from logloom.operators import analyst as A
+
+    assert A.within("l" * 9, ["s"] * 3, 12) == ("l" * 9, ["s"] * 3)
+    log, kept = A.within("l" * 5000, ["a" * 900, "b" * 900, "c" * 900], 1000)
+    assert log == "l" * A.LOG_LEAST + " […3000 characters left out]" and kept == ["a" * 900, "b" * 100 + " […800 characters left out]", " […900 characters left out]"]
+    assert A.within("l" * 5000, ["a" * 900], 4900)[0].startswith("l" * 4000 + " […1000 ")
+    e = make(spark, [{"user": "ann", "host": "web-1", "message": "ann at web-1 " * 9, "rule": "r", "category": "c", "severity": "high"}])
+    seen = []
+    A.by_model(e, lambda p: seen.append(p) or "{}", [{"text": "web-1 " * 9000}], "is ann in?", most=3000)
+    assert len(seen[0]) < 6000 and "ann" not in seen[0] and "web-1" not in seen[0]
+
+
+def test_audit_is_appended_and_read_with_broken_lines(spark, tmp_path):
+    df = spark.createDataFrame([(0, "8.8.8.8", 95, "r"), (1, "10.0.0.1", 20, "r")], "seq bigint, source_ip string, score int, rule string")
+    path = str(tmp_path / "audit")
+    for hour in (1, 2):
+        respond.append(respond.decide(df, allowlist=["10.0.0.0/8"]), F.lit(T0 + timedelta(hours=hour)), path)
+    (tmp_path / "audit" / "part-broken.json").write_text('not json\n[1]\n\n{"reason": "cut')
+    audit = respond.read_audit(spark, path)
+    assert audit.count() == 4
+    assert [(r.allowed, r.reason) for r in respond.history(audit, 2).orderBy("score").collect()] == [(False, respond.ALLOWED), (True, "r")]
+    assert respond.history(audit, 1).first().at > audit.agg(F.min("at")).first()[0]
+    assert tuple(respond.status(audit, T0 + timedelta(hours=2, minutes=30)).first()) == (1, 4, 2)
+
+
+def test_revocations_are_read_anew(spark, tmp_path):
+    file = tmp_path / "revoked.json"
+    rows = spark.createDataFrame([("a", "AB:CD"), ("b", "ef 01"), ("c", None), (None, "ffff")], "probe string, fingerprint string")
+    deny = fleet.Revocations(str(file))
+    denied = lambda: sorted(str(r.probe) for r in rows.where(deny.denies()).collect())
+    assert denied() == []
+    file.write_text(json.dumps({"revoked": [{"fingerprint": "abcd"}, {"name": "c"}, {"fingerprint": "EF:01", "name": "x"}, 7]}))
+    assert denied() == ["a", "b", "c"]
+    file.write_text("{broken")
+    assert denied() == ["a", "b", "c"]
+    file.write_text(json.dumps({"revoked": [{"name": "b"}]}))
+    assert denied() == ["b"]
+    file.unlink()
+    assert denied() == []
+
+
+def test_bundles_of_a_folder_in_the_order_of_names(tmp_path):
+    one = sigma.compile_all([("a.yml", RULE)]).bundle()
+    for name, title in (("b.json", "second"), ("a.json", "first"), ("c.txt", "none")):
+        (tmp_path / name).write_text(json.dumps(one | {"rules": [r | {"name": title} for r in one["rules"]]}))
+    assert [r.name for r in sigma.load_folder(str(tmp_path))] == ["first", "second"]
+    assert sigma.load_folder(str(tmp_path / "missing")) == []
+    (tmp_path / "d.json").write_text("{}")
+    with pytest.raises(sigma.RuleError):
+        sigma.load_folder(str(tmp_path))
+
+
 def test_routes_have_no_bound_of_hops(spark):
     hops = 66
     edge = spark.createDataFrame([(f"n{k:03}", f"n{k + 1:03}", True) for k in range(hops)], "src string, dst string, grants_access boolean")
