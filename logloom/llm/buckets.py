@@ -37,29 +37,34 @@ def stars(keyed: DataFrame) -> DataFrame:
 
 
 def _met(named: DataFrame, tokens: Callable[[DataFrame], DataFrame], sizes: DataFrame, s: Scratch, percent: int) -> DataFrame:
-    """Pairs (x, y) of a large group in different components that may reach the threshold.
+    """Pairs (x, y) of large groups in different components that may reach the threshold.
 
-    A prefix filter within the group, exact: in one order of its elements, rarest in the group
+    A member of many groups comes once: groups that share members, or of which one's pivot is a member of the other,
+    are one field ``g``, and the rows are the members times their elements, whatever the number of pivots.
+    A prefix filter within the field, exact: in one order of its elements, rarest in the field
     first, two sets that share o elements share one among the first n - o + 1 of each. The
     threshold asks for ``o >= percent / (100 + percent) * (n + m)``, so the element at rank r of a set
-    of n can be that one only for partners of at most ``most`` elements. Edits of a copy's own
-    are rare in its group: a copy with too many of them meets nobody, or the few that made the same
-    edits, instead of the group. One side is never of the group's largest component.
+    of n can be that one only for partners of at most ``most`` elements; a partner has no fewer than the field's smallest
+    set, nor than ``percent`` hundredths of n. Edits of a copy's own
+    are rare in its field: a copy with too many of them meets nobody, or the few that made the same
+    edits, instead of the field. One side is never of the field's largest component.
     """
-    rows = named.join(sizes, "id").join(tokens(named.select("id").distinct()), "id").select("p", "h", "id", "c", "n")
-    rows = s.save("rows", rows)
-    often = rows.groupBy("p", "h").agg(F.count("*").alias("k")).where("k > 1")
-    mine = W.partitionBy("p", "id")
+    fields = components(named.select("p", "id"), s, "ff").select(F.col("node").alias("id"), F.col("component").alias("g"))
+    one = s.save("fields", named.select("id", "c").distinct().join(fields, "id").join(sizes, "id").select("id", "g", "c", "n"))
+    s.sweep()
+    rows = s.save("rows", tokens(one.select("id")).join(one, "id").select("g", "h", "id", "c", "n"))
+    often = rows.groupBy("g", "h").agg(F.count("*").alias("k")).where("k > 1")
+    mine = W.partitionBy("id")
     rank = F.row_number().over(mine.orderBy("k", "h")) + F.col("n") - F.count("*").over(mine)
     most = F.floor((F.col("n") - F.col("r") + 1) * (100 + percent) / percent + 1e-6) - F.col("n")
-    index = rows.join(often, ["p", "h"]).withColumn("r", rank).withColumn("most", most)
-    # one row a group, as a table: a join with an aggregate of its own key couldn't split the rows of a large group
-    least = sizes.join(named.select("p", "id"), "id").groupBy("p").agg(F.min("n").alias("least"))
-    largest = named.groupBy("p", "c").agg(F.count("*").alias("k")).groupBy("p").agg(F.max(F.struct("k", "c")).alias("m")).select("p", F.col("m.c").alias("main"))
-    facts = s.save("facts", least.join(largest, "p"))
-    index = s.save("index", index.join(facts.select("p", "least"), "p").where("most >= least").select("p", "h", "id", "c", "n", "most"))
-    few = index.join(facts.select("p", "main"), "p").where("c <> main").select("p", "h", F.col("id").alias("q"), F.col("c").alias("qc"), F.col("n").alias("qn"), F.col("most").alias("qmost"))
-    return index.join(few, ["p", "h"]).where("c <> qc AND n <= qmost AND qn <= most").select(F.least("q", "id").alias("x"), F.greatest("q", "id").alias("y")).distinct()
+    index = rows.join(often, ["g", "h"]).withColumn("r", rank).withColumn("most", most).where(f"100 * most >= {percent} * n")
+    # one row a field, as a table: a join with an aggregate of its own key couldn't split the rows of a large field
+    least = one.groupBy("g").agg(F.min("n").alias("least"))
+    largest = one.groupBy("g", "c").agg(F.count("*").alias("k")).groupBy("g").agg(F.max(F.struct("k", "c")).alias("m")).select("g", F.col("m.c").alias("main"))
+    facts = s.save("facts", least.join(largest, "g"))
+    index = s.save("index", index.join(facts.select("g", "least"), "g").where("most >= least").select("g", "h", "id", "c", "n", "most"))
+    few = index.join(facts.select("g", "main"), "g").where("c <> main").select("g", "h", F.col("id").alias("q"), F.col("c").alias("qc"), F.col("n").alias("qn"), F.col("most").alias("qmost"))
+    return index.join(few, ["g", "h"]).where("c <> qc AND n <= qmost AND qn <= most").select(F.least("q", "id").alias("x"), F.greatest("q", "id").alias("y")).distinct()
 
 
 def link(star: DataFrame, distances: Callable[[DataFrame], DataFrame], tokens: Callable[[DataFrame], DataFrame], sizes: DataFrame, s: Scratch, percent: int) -> DataFrame:
@@ -69,7 +74,7 @@ def link(star: DataFrame, distances: Callable[[DataFrame], DataFrame], tokens: C
     ``tokens`` the elements ``id, h`` of the sets, ``sizes`` their number ``id, n``. After the stars, what
     shared a bucket shares a pivot. A pivot's group is done when its members are one
     component. In a group of at most ``SMALL``, members of different components meet
-    (fewer than ``SMALL`` pairs a member); in a larger one, those that an exact filter admits. Then
+    (fewer than ``SMALL`` pairs a member); in larger ones, those that an exact filter admits. Then
     every pair that shared a bucket is in one component, tested, or proven to be below.
     """
     star = s.save("star", star)
