@@ -27,40 +27,58 @@ from logloom.llm.scratch import Scratch
 BLANKS = " \t\r"
 
 
-def _set(u: str, width: int) -> F.Column:
-    """Distinct shingle hashes (64 bits) of a line in UTF-32, four bytes a character.
+def _hashes(u: str, width: int) -> str:
+    """Shingle hashes (64 bits) of a line in UTF-32, four bytes a character, one for every position.
 
     An array of one binds the bytes, which would else be copied out of the row for every position.
     """
     at = f"sequence(1, greatest(octet_length(b) - {4 * width - 1}, 1), 4)"
-    return F.expr(f"array_distinct(transform(array({u}), b -> transform({at}, i -> xxhash64(substring(b, i, {4 * width}))))[0])")
+    return f"transform(array({u}), b -> transform({at}, i -> xxhash64(substring(b, i, {4 * width}))))[0]"
+
+
+def _set(u: str, width: int) -> F.Column:
+    """Distinct shingle hashes of a line in UTF-32."""
+    return F.expr(f"array_distinct({_hashes(u, width)})")
 
 
 def _signatures(line: str, width: int) -> tuple[F.Column, ...]:
-    """Three columns to be selected one after another: sorted shingle hashes ``h``, minima ``m``, band ``keys``.
+    """Three columns to be selected one after another: smallest shingle hashes ``h``, minima ``m``, band ``keys``.
 
-    One permutation: ``m`` are the 64 smallest hashes, which two sets share like the sets themselves, put in the order of
+    One permutation: ``h`` are the 64 smallest distinct hashes, which two sets share like the sets themselves; ``m`` has them in the order of
     their low bits; a band key is the hash of one of them and the three that follow it (the
     last is followed by the first). The 16 bands start at the first minimum of every value of four bits, in a line
     of at most 16 minima at each of them. All of it is made inside the row: a line is one
     row, never one row a character, and its arrays live as long as the row.
+
+    Only hashes below a bound that some 112 of a long line's positions stay under are made distinct and sorted; where
+    fewer than 64 are left (few distinct shingles at many positions), all of them are. Lambdas are interpreted, so
+    lines of 64 minima, which are most, get their ``m`` and ``keys`` from written-out arrays, which are compiled; the lambdas
+    of the others make the same.
     """
-    h = F.sort_array(_set("u", width))
-    m = F.expr("sort_array(transform(slice(h, 1, 64), x -> shiftleft(x, 60) | shiftrightunsigned(x, 4)))")
-    keys = F.expr("""transform(array(m), m -> transform(filter(sequence(0, size(m) - 1), i -> size(m) <= 16 OR i = 0 OR shiftright(m[i], 60) <> shiftright(m[i - 1], 60)),
-        i -> xxhash64(m[i], m[(i + 1) % size(m)], m[(i + 2) % size(m)], m[(i + 3) % size(m)])))[0]""")
+    every = _hashes("u", width)
+    bound = f"if(octet_length(u) <= 720, {2**63 - 1}, cast({112 * 2**64:.4e}D / (octet_length(u) div 4) - {2**63:.4e}D as bigint))"
+    low = f"array_distinct(transform(array({every}), a -> transform(array({bound}), t -> filter(a, x -> x <= t))[0])[0])"
+    # ``low`` in both branches, so that it is evaluated once
+    h = F.expr(f"slice(sort_array(if(size({low}) >= 64 OR octet_length(u) <= 720, {low}, array_union({low}, {every}))), 1, 64)")
+    turned = ", ".join(f"shiftleft(h[{i}], 60) | shiftrightunsigned(h[{i}], 4)" for i in range(64))
+    m = F.expr(f"sort_array(if(size(h) = 64, array({turned}), transform(h, x -> shiftleft(x, 60) | shiftrightunsigned(x, 4))))")
+    key = [f"xxhash64(m[{i}], m[{(i + 1) % 64}], m[{(i + 2) % 64}], m[{(i + 3) % 64}])" for i in range(64)]
+    starts = ", ".join([key[0], *(f"if(shiftright(m[{i}], 60) <> shiftright(m[{i - 1}], 60), {key[i]}, null)" for i in range(1, 64))])
+    keys = F.expr(f"""if(size(m) = 64, array_except(array({starts}), array(cast(null as bigint))),
+        transform(array(m), m -> transform(filter(sequence(0, size(m) - 1), i -> size(m) <= 16 OR i = 0 OR shiftright(m[i], 60) <> shiftright(m[i - 1], 60)),
+        i -> xxhash64(m[i], m[(i + 1) % size(m)], m[(i + 2) % size(m)], m[(i + 3) % size(m)])))[0])""")
     return F.encode(line, "UTF-32").alias("u"), h.alias("h"), m.alias("m"), keys.alias("keys")
 
 
-def _distances(cls: DataFrame, width: int):
-    t = cls.select("id", "line")
+def _distances(near: DataFrame, width: int, percent: int):
+    """Sizes of the intersection and union, of the pairs whose sets' sizes admit the threshold."""
 
     def run(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(t.select(F.col("id").alias("y"), F.col("line").alias("ly")), "y").join(t.select(F.col("id").alias("x"), F.col("line").alias("lx")), "x")
-        wide = both.select("x", "y", F.encode("lx", "UTF-32").alias("ux"), F.encode("ly", "UTF-32").alias("uy"))
-        sets = wide.select("x", "y", _set("ux", width).alias("a"), _set("uy", width).alias("b"))
-        n = sets.select("x", "y", F.size(F.array_intersect("a", "b")).cast("long").alias("both"), (F.size("a") + F.size("b")).cast("long").alias("total"))
-        return n.select("x", "y", "both", (F.col("total") - F.col("both")).alias("either"))
+        y, x = (near.select(F.col("id").alias(k), F.col("line").alias(f"l{k}"), F.col("n").alias(f"n{k}")) for k in "yx")
+        both = pairs.join(y, "y").join(x, "x").where(f"100 * least(nx, ny) >= {percent} * greatest(nx, ny)")
+        wide = both.select("x", "y", (F.col("nx") + F.col("ny")).alias("total"), F.encode("lx", "UTF-32").alias("ux"), F.encode("ly", "UTF-32").alias("uy"))
+        n = wide.select("x", "y", "total", F.expr(f"cast(size(array_union({_hashes('ux', width)}, {_hashes('uy', width)})) as bigint) as either"))
+        return n.select("x", "y", (F.col("total") - F.col("either")).alias("both"), "either")
 
     return run
 
@@ -75,7 +93,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     cls = line.groupBy("h1", "h2").agg(F.min("f").alias("f"))
     cls = cls.select(F.struct("f.doc_id", "f.th", "f.pos").alias("first"), "f.line", F.monotonically_increasing_id().alias("id"))
     u, h, m, keys = _signatures("line", width)
-    cls = cls.select("*", u).select("id", "first", "line", h).select("id", "first", "line", "h", m).select("id", "first", "line", F.size("h").cast("long").alias("n"), keys)
+    cls = cls.select("*", u).select("id", "first", "line", h).select("id", "first", "line", m).select("id", "first", "line", keys)
     cls = s.save("cls", cls)
     s.sweep()
     # counts first, as a table: their exchange is gone before that of the join is written
@@ -87,11 +105,13 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     star = stars(live.join(live.groupBy("id").agg(F.sum("n").alias("score")), "id"))
     star = s.save("stars", star)
     ids = star.select("id").union(star.select("p")).distinct()
-    near = s.save("near", cls.select("id", "line").join(ids, "id", "left_semi"))
+    # the size of a set is asked of these only
+    near = cls.select("id", "line").join(ids, "id", "left_semi").select("id", "line", F.encode("line", "UTF-32").alias("u"))
+    near = s.save("near", near.select("id", "line", F.size(_set("u", width)).cast("long").alias("n")))
     s.drop("live")
     s.sweep()
     tokens = lambda some: near.join(some, "id", "left_semi").select("id", F.encode("line", "UTF-32").alias("u")).select("id", F.explode(_set("u", width)).alias("h"))
-    comp = link(star, _distances(near, width), tokens, cls.select("id", "n"), s, percent)
+    comp = link(star, _distances(near, width, percent), tokens, near.select("id", "n"), s, percent)
     # all classes of a component but the one whose first line comes first
     named = cls.select("id", "first").join(comp.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     kept = named.groupBy("component").agg(F.min("first").alias("first")).select("first.*")

@@ -119,3 +119,36 @@ def test_a_family_around_the_threshold(spark):
         rows.append((d, "".join(x)))
     got = sorted([tuple(r) for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()], key=str)
     assert got == brute(rows)
+
+
+def test_signatures_are_of_the_smallest_hashes(spark):
+    # lines of few and many distinct shingles, below and above the length from which hashes are bounded
+    rng = random.Random(11)
+    some = lambda n: "".join(rng.choice("abcdefghij klmnopqrsé漢😀") for _ in range(n))
+    texts = [some(n) for n in (1, 7, 8, 9, 23, 24, 70, 71, 72, 179, 180, 181, 187, 188, 400, 5_000)]
+    texts += [some(n) * 300 for n in (1, 2, 15, 16, 17, 63, 64, 65, 111, 300)] + [some(40) * 50 + some(k) for k in (20, 24, 30)]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, line string").repartition(3)
+    u, h, m, keys = lines._signatures("line", 8)
+    sets = {r.id: r.s for r in df.select("id", u).select("id", lines._set("u", 8).alias("s")).collect()}
+    got = df.select("id", u).select("id", h).select("id", "h", m).select("id", "h", "m", keys).collect()
+    assert len(got) == len(texts) and any(len(v) > 64 for v in sets.values()) and any(len(v) < 64 < len(texts[k]) for k, v in sets.items())
+    for r in got:
+        assert len(sets[r.id]) == len({texts[r.id][i : i + 8] for i in range(max(1, len(texts[r.id]) - 7))})
+        assert r.h == sorted(sets[r.id])[:64]
+        turned = [((x & 15) << 60 | (x >> 4) & (1 << 60) - 1) for x in r.h]
+        assert r.m == sorted(x - (1 << 64) if x >> 63 else x for x in turned)
+        starts = [i for i in range(len(r.m)) if len(r.m) <= 16 or i == 0 or r.m[i] >> 60 != r.m[i - 1] >> 60]
+        rows = spark.createDataFrame([tuple(r.m[(i + j) % len(r.m)] for j in range(4)) for i in starts], "a long, b long, c long, d long")
+        assert sorted(r["keys"]) == sorted({x.k for x in rows.select(F.xxhash64("a", "b", "c", "d").alias("k")).collect()})
+
+
+def test_sizes_settle_pairs_before_sets_are_built(spark):
+    texts = ["abcdefghijklmnopqrstuvwxyz" + "0123456789" * k + tail for k in (0, 1, 3) for tail in ("", "!", "AB" * 9)]
+    near = spark.createDataFrame(list(enumerate(texts)), "id long, line string").select("id", "line", F.encode("line", "UTF-32").alias("u"))
+    near = near.select("id", "line", F.size(lines._set("u", 8)).cast("long").alias("n"))
+    ids = range(len(texts))
+    pairs = spark.createDataFrame([(x, y) for x in ids for y in ids if x < y], "x long, y long")
+    got = {(r.x, r.y): (r.both, r.either) for r in lines._distances(near, 8, 80)(pairs).collect()}
+    sets = [{x[i : i + 8] for i in range(len(x) - 7)} for x in texts]
+    want = {(x, y): (len(sets[x] & sets[y]), len(sets[x] | sets[y])) for x in ids for y in ids if x < y and 100 * min(len(sets[x]), len(sets[y])) >= 80 * max(len(sets[x]), len(sets[y]))}
+    assert got == want and 0 < len(want) < len(ids) * (len(ids) - 1) // 2
