@@ -70,7 +70,7 @@ def _met(named: DataFrame, tokens: Callable[[DataFrame], DataFrame], sizes: Data
 def link(star: DataFrame, distances: Callable[[DataFrame], DataFrame], tokens: Callable[[DataFrame], DataFrame], sizes: DataFrame, s: Scratch, percent: int) -> DataFrame:
     """``node, component`` of all that is linked, from the stars of the buckets.
 
-    ``distances`` gives the sizes of the intersection and union of the sets of each pair (x, y),
+    ``distances`` gives the sizes of the intersection and union of the sets of each pair (x, y) that may reach the threshold,
     ``tokens`` the elements ``id, h`` of the sets, ``sizes`` their number ``id, n``. After the stars, what
     shared a bucket shares a pivot. A pivot's group is done when its members are one
     component. In a group of at most ``SMALL``, members of different components meet

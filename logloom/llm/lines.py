@@ -41,6 +41,12 @@ def _set(u: str, width: int) -> F.Column:
     return F.expr(f"array_distinct({_hashes(u, width)})")
 
 
+def _bound(octets: str) -> str:
+    """What about 112 of the hashes of a line of this many bytes of UTF-32 are at most; the largest hash for up to 180 characters."""
+    # in exact powers of two: the smallest hash can be reached, not passed, however long the line
+    return f"if({octets} <= 720, {2**63 - 1}, cast({112 * 2**64}D / ({octets} div 4) - {2**63}D as bigint))"
+
+
 def _signatures(line: str, width: int) -> tuple[F.Column, ...]:
     """Three columns to be selected one after another: smallest shingle hashes ``h``, minima ``m``, band ``keys``.
 
@@ -56,7 +62,7 @@ def _signatures(line: str, width: int) -> tuple[F.Column, ...]:
     of the others make the same.
     """
     every = _hashes("u", width)
-    bound = f"if(octet_length(u) <= 720, {2**63 - 1}, cast({112 * 2**64:.4e}D / (octet_length(u) div 4) - {2**63:.4e}D as bigint))"
+    bound = _bound("octet_length(u)")
     low = f"array_distinct(transform(array({every}), a -> transform(array({bound}), t -> filter(a, x -> x <= t))[0])[0])"
     # ``low`` in both branches, so that it is evaluated once
     h = F.expr(f"slice(sort_array(if(size({low}) >= 64 OR octet_length(u) <= 720, {low}, array_union({low}, {every}))), 1, 64)")

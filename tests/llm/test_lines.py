@@ -152,3 +152,12 @@ def test_sizes_settle_pairs_before_sets_are_built(spark):
     sets = [{x[i : i + 8] for i in range(len(x) - 7)} for x in texts]
     want = {(x, y): (len(sets[x] & sets[y]), len(sets[x] | sets[y])) for x in ids for y in ids if x < y and 100 * min(len(sets[x]), len(sets[y])) >= 80 * max(len(sets[x]), len(sets[y]))}
     assert got == want and 0 < len(want) < len(ids) * (len(ids) - 1) // 2
+
+
+def test_the_bound_of_hashes_holds_for_any_length(spark):
+    at = [4, 720, 724, 4_000, 250_000, 2_000_000_000, 2_147_483_644]
+    df = spark.createDataFrame([(n,) for n in at], "n int").selectExpr("n", f"{lines._bound('n')} AS t")
+    got = {r.n: r.t for r in df.collect()}
+    assert got[4] == got[720] == 2**63 - 1
+    for n in at[2:]:
+        assert abs((got[n] + 2**63) / 2**64 * (n // 4) - 112) < 0.01
