@@ -50,17 +50,18 @@ def first_ip(text: Column) -> Column:
 def scope(c: Column) -> Column:
     """loopback, link-local, private, unspecified, multicast, public, or unknown."""
     mapped = F.regexp_extract(F.lower(c), rf"\A(?:(?:0{{1,4}}:){{5}}|(?:0{{1,4}}(?::0{{1,4}}){{0,3}})?::)ffff:({V4})\z", 1)
-    four = F.when(is_v4(c), c).otherwise(F.when(c.contains(":"), mapped).otherwise(F.lit("")))
-    p = F.split(four, r"\.")
-    a, b, d = (F.try_element_at(p, F.lit(i)).try_cast("int") for i in (1, 2, 3))
-    v4 = (
-        F.when(a == 127, "loopback")
-        .when(((a == 169) & (b == 254)) | ((a == 224) & (b == 0) & (d == 0)), "link-local")
-        .when((a == 10) | ((a == 172) & b.between(16, 31)) | ((a == 192) & (b == 168)), "private")
-        .when(four == "0.0.0.0", "unspecified")
-        .when(a.between(224, 239), "multicast")
-        .otherwise("public")
-    )
+
+    def v4(a: Column) -> Column:
+        # octets have no leading zeros, so that prefixes tell them apart
+        return (
+            F.when(a.startswith("127."), "loopback")
+            .when(a.startswith("169.254.") | a.startswith("224.0.0."), "link-local")
+            .when(a.startswith("10.") | a.startswith("192.168.") | (a.startswith("172.") & a.rlike(r"\A172\.(?:1[6-9]|2[0-9]|3[01])\.")), "private")
+            .when(a == "0.0.0.0", "unspecified")
+            .when(a.startswith("2") & a.rlike(r"\A2(?:2[4-9]|3[0-9])\."), "multicast")
+            .otherwise("public")
+        )
+
     head = F.conv(F.regexp_extract(c, r"\A([0-9a-fA-F]{1,4}):", 1), 16, 10).try_cast("int")
     v6 = (
         F.when(c.rlike(r"\A[0:]*:0{0,3}1\z"), "loopback")
@@ -70,4 +71,4 @@ def scope(c: Column) -> Column:
         .when(head >= 0xFF00, "multicast")
         .otherwise("public")
     )
-    return F.when(four != "", v4).when(c.contains(":") & is_ip(c), v6).otherwise(F.lit("unknown"))
+    return F.when(is_v4(c), v4(c)).when(c.contains(":"), F.when(mapped != "", v4(mapped)).when(is_ip(c), v6).otherwise("unknown")).otherwise(F.lit("unknown"))

@@ -11,6 +11,8 @@ MARKER = "…[truncated]"
 ANSI = r"\x1b(?:\[[\x20-\x3f]*+[\s\S]?|\][^\x07\x1b]*+(?:\x1b(?!\\)[^\x07\x1b]*+)*+(?:\x07|\x1b\\)?|[\s\S])?"
 INVISIBLE = r"[\x{200b}-\x{200f}\x{202a}-\x{202e}\x{2066}-\x{2069}\x{feff}\x{ad}]"
 CONTROL = r"[\x00-\x1f\x7f-\x9f]"
+#: What a line of printable ASCII doesn't hold; none of the steps changes such a line.
+ODD = r"[^\x20-\x7e]"
 
 
 def fingerprint(raw: Column) -> Column:
@@ -46,13 +48,16 @@ def _escaped(text: Column) -> Column:
 def sanitise(df, raw: str = "raw", most: int = MAX_LINE):
     """Adds ``clean`` and ``san_``: modified, truncated, control, escape, bidi, invalid_utf8."""
     r = F.col(raw)
-    ok = F.is_valid_utf8(r)
-    d = df.withColumn("_v", F.when(ok, r).otherwise(F.regexp_replace(F.make_valid_utf8(r), r"\x{FFFD}+", "\ufffd"))).withColumn("_ok", ok)
-    d = d.withColumn("_esc", F.col("_v").contains("\x1b"))
+    plain = F.col("_plain")
+    unless_plain = lambda c: F.when(plain, False).otherwise(c)
+    d = df.withColumn("_plain", ~r.rlike(ODD))
+    d = d.withColumn("_ok", F.when(plain, True).otherwise(F.is_valid_utf8(r)))
+    d = d.withColumn("_v", F.when(F.col("_ok"), r).otherwise(F.regexp_replace(F.make_valid_utf8(r), r"\x{FFFD}+", "\ufffd")))
+    d = d.withColumn("_esc", unless_plain(F.col("_v").contains("\x1b")))
     d = d.withColumn("_e", F.when(F.col("_esc"), F.regexp_replace("_v", ANSI, "")).otherwise(F.col("_v")))
-    d = d.withColumn("_bidi", F.col("_e").rlike(INVISIBLE))
+    d = d.withColumn("_bidi", unless_plain(F.col("_e").rlike(INVISIBLE)))
     d = d.withColumn("_b", F.when(F.col("_bidi"), F.regexp_replace("_e", INVISIBLE, "")).otherwise(F.col("_e")))
-    d = d.withColumn("_ctl", F.col("_b").rlike(CONTROL))
+    d = d.withColumn("_ctl", unless_plain(F.col("_b").rlike(CONTROL)))
     d = d.withColumn("_c", F.when(F.col("_ctl"), _escaped(F.col("_b"))).otherwise(F.col("_b")))
     long = F.octet_length("_c") > most
     d = d.withColumn("clean", cap(F.col("_c"), most))

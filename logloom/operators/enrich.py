@@ -46,8 +46,12 @@ def _port(c: Column) -> Column:
     return F.when(n.between(1, 65535), n).otherwise(0)
 
 
-def enrich(df: DataFrame, canaries: Canaries | None = None, sigma: Sequence[SigmaRule] = (), now: datetime | None = None, rules: Sequence[R.Rule] = R.RULES, keep_raw: bool = False) -> DataFrame:
-    """Events of rows with ``seq, raw, clean`` and the columns of the sanitiser and the parser; lines without a time take ``now`` (default: the query's time)."""
+def enrich(df: DataFrame, canaries: Canaries | None = None, sigma: Sequence[SigmaRule] = (), now: datetime | None = None, rules: Sequence[R.Rule] = R.RULES, keep_raw: bool = False, columns: Sequence[str] | None = None) -> DataFrame:
+    """Events of rows with ``seq, raw, clean`` and the columns of the sanitiser and the parser; lines without a time take ``now`` (default: the query's time).
+
+    ``columns`` are those that are wanted (default: all): the others are not computed, which
+    the optimiser can't find out behind the fence.
+    """
     stamp = F.lit(now) if now else F.current_timestamp()
     message, process = F.col("env_message"), F.col("env_process")
     d = df.withColumn("_low", R.folded(message))
@@ -75,7 +79,7 @@ def enrich(df: DataFrame, canaries: Canaries | None = None, sigma: Sequence[Sigm
         F.coalesce(of([r.mitre for r in rules], "array<string>"), _texts(())).alias("mitre"),
         F.array_distinct(F.concat(_tags_if(F.col("env_time").isNull(), ["no-timestamp"]), F.flatten(F.transform("_hits", lambda i: F.element_at(all_tags, i + 1))))).alias("tags"),
         F.col("_src").alias("source_ip"), _port(cap("port")).alias("source_port"),
-        F.when(ip.is_ip(cap("dest_ip")), cap("dest_ip")).otherwise("").alias("dest_ip"), _port(cap("dest_port")).alias("dest_port"), cap("user").alias("user"),
+        F.when(ip.is_ip(cap("dest_ip")), cap("dest_ip")).otherwise("").alias("dest_ip"), _port(cap("dest_port")).alias("dest_port"), cap("user").alias("user"), cap("target_user").alias("_target"),
         F.array(F.struct(F.lit("format").alias("k"), F.col("env_format").alias("v")), *[F.struct(F.lit(n).alias("k"), cap(n).alias("v")) for n in names if n not in FIRST_CLASS]).alias("pairs"),
         win.isNotNull().alias("_matched"),
     )
@@ -91,7 +95,8 @@ def enrich(df: DataFrame, canaries: Canaries | None = None, sigma: Sequence[Sigm
         F.map_from_entries(F.filter("pairs", lambda p: p["v"] != "")).alias("fields"), F.col("san_modified").alias("sanitized"), (F.col("env_format") != "raw").alias("parse_ok"),
         (F.col("clean") if keep_raw else F.lit("")).alias("raw"),
     )
-    return fence(complete(out))
+    out = complete(out)
+    return fence(out.select(*columns) if columns else out)
 
 
 def fence(df: DataFrame) -> DataFrame:
@@ -144,7 +149,7 @@ def _modifiers(d: DataFrame) -> DataFrame:
     d = d.withColumn("_scope", F.when(F.col("source_ip") != "", ip.scope(F.col("source_ip"))).otherwise(""))
     san, level = {k: F.col(f"san_{k}") for k in ("control", "escape", "bidi", "invalid_utf8", "truncated")}, F.col("env_level")
     injected = san["control"] | san["escape"] | san["bidi"]
-    root = (F.lower("user") == "root") | (F.lower(_get("target_user")) == "root")
+    root = (F.lower("user") == "root") | (F.lower("_target") == "root")
     changes = [(F.col("_scope") == s, n, why) for s, (n, why) in SCOPE_DELTA.items()]
     changes += [(root, *ROOT), (level.between(0, 2), *SYSLOG_CRITICAL[:2]), (injected, *INJECTION[:2]), (san["invalid_utf8"], *INVALID[:2])]
     score, notes = F.col("score"), []
@@ -163,7 +168,7 @@ def _canaries(d: DataFrame, canaries: Canaries | None) -> DataFrame:
     """A canary replaces the verdict; the rule that matched stays as ``trigger_rule``."""
     if canaries is None or not canaries.tokens:
         return d
-    d = d.withColumn("_h", canaries.hits(F.col("user"), _get("target_user"), F.col("env_message")))
+    d = d.withColumn("_h", canaries.hits(F.col("user"), F.col("_target"), F.col("env_message")))
     hit = F.size("_h") > 0
     joined = lambda key: F.when(hit, F.array_join(F.transform("_h", lambda h: h[key]), ", "))
     notes = F.filter(F.transform("_h", lambda h: h["note"]), lambda n: n != "")

@@ -69,8 +69,8 @@ def nodes(events: DataFrame) -> DataFrame:
     return g.select(F.concat_ws(":", "kind", "label").alias("id"), "*")
 
 
-def edge_rows(events: DataFrame) -> DataFrame:
-    """One row for each interaction of an event: ``src, dst, kind`` and the event's columns."""
+def edge_rows(events: DataFrame, keep: tuple[str, ...] = ("seq", "timestamp", "score", "raw_sha256")) -> DataFrame:
+    """One row for each interaction of an event: ``src, dst, kind`` and the event's columns to keep."""
     d = _parts(events)
     s, u, t, a = F.col("source_ip"), F.col("user"), F.col("_target"), F.col("_actor")
     edge = lambda cond, src, dst, kind: F.when(cond, F.array(F.struct(src.alias("src"), dst.alias("dst"), (F.lit(kind) if isinstance(kind, str) else kind).alias("kind"))))
@@ -85,8 +85,8 @@ def edge_rows(events: DataFrame) -> DataFrame:
         F.when((s != "") | (u != ""), F.transform("_canary", lambda v: F.struct(F.when(s != "", _id("source_ip", s)).otherwise(_id("user", u)).alias("src"), _canary_id(v).alias("dst"), F.lit("referenced_canary").alias("kind")))),
     ]
     none = F.array().cast("array<struct<src:string,dst:string,kind:string>>")
-    x = d.select("seq", "timestamp", "score", "raw_sha256", F.explode(F.concat(*[F.coalesce(e, none) for e in each])).alias("e"))
-    return x.select("seq", "timestamp", "score", "raw_sha256", "e.*").where("src <> dst")
+    x = d.select(*keep, F.explode(F.concat(*[F.coalesce(e, none) for e in each])).alias("e"))
+    return x.select(*keep, "e.*").where("src <> dst")
 
 
 def grants(kind: str = "kind") -> Column:
@@ -95,7 +95,7 @@ def grants(kind: str = "kind") -> Column:
 
 def edges(events: DataFrame) -> DataFrame:
     """``src, dst, kind, count, peak_score, grants_access, first_seen, last_seen``."""
-    g = edge_rows(events).groupBy("src", "dst", "kind").agg(F.count("*").alias("count"), F.greatest(F.max("score"), F.lit(0)).alias("peak_score"), F.min("timestamp").alias("first_seen"), F.max("timestamp").alias("last_seen"))
+    g = edge_rows(events, ("timestamp", "score")).groupBy("src", "dst", "kind").agg(F.count("*").alias("count"), F.greatest(F.max("score"), F.lit(0)).alias("peak_score"), F.min("timestamp").alias("first_seen"), F.max("timestamp").alias("last_seen"))
     return g.withColumn("grants_access", grants())
 
 
@@ -111,10 +111,11 @@ def blast_radius(node: DataFrame, edge: DataFrame, seed: str, max_hops: int = HO
 
     An edge is crossed only if it was last used at or after the arrival at its source. A node
     is expanded again whenever its hop or its arrival improves, and keeps the least of both.
-    A round is one join of the improved nodes with the edges and one combined minimum.
+    A round is one join of the improved nodes with the edges and one combined minimum. The
+    edges are written once: rounds don't read the events again.
     """
     e = edge.where("grants_access") if access_only else edge
-    e = e.select("src", "dst", F.col("first_seen").alias("ef"), F.col("last_seen").alias("el"))
+    e = cut(e.select("src", "dst", F.col("first_seen").alias("ef"), F.col("last_seen").alias("el")))
     known = cut(node.where(F.col("id") == seed).select("id", F.lit(0).alias("hops"), F.col("first_seen").alias("arrival")))
     front = known
     while not front.isEmpty():
@@ -135,7 +136,8 @@ def radius_by_kind(radius: DataFrame) -> DataFrame:
 
 def components(node: DataFrame, edge: DataFrame) -> DataFrame:
     """``id, component``: the least id of each weakly connected part, by minimum labels with pointer jumping."""
-    both = cut(edge.select(F.col("src").alias("a"), F.col("dst").alias("b")).union(edge.select("dst", "src")).distinct())
+    pair = lambda a, b: F.struct(F.col(a).alias("a"), F.col(b).alias("b"))
+    both = cut(edge.select(F.inline(F.array(pair("src", "dst"), pair("dst", "src")))).distinct())
     label = cut(node.select("id", F.col("id").alias("c")))
     while True:
         seen = both.join(label, both["b"] == label["id"]).groupBy("a").agg(F.min("c").alias("m"))
@@ -202,15 +204,17 @@ def bridges(edge: DataFrame) -> DataFrame:
 
 def chains(node: DataFrame, edge: DataFrame, least: int = 3) -> DataFrame:
     """Of each source the longest of its shortest routes to a file or process."""
+    node = cut(node.select("id", "kind", "peak_score"))
     starts = node.where(F.col("kind") == "source_ip").select("id")
     r = routes(edge, starts).where(F.col("id").startswith("file:") | F.col("id").startswith("process:"))
-    best = r.groupBy("start").agg(F.max_by("path", F.struct(F.size("path"), F.col("path"))).alias("path")).where(F.size("path") >= least)
+    best = cut(r.groupBy("start").agg(F.max_by("path", F.struct(F.size("path"), F.col("path"))).alias("path")).where(F.size("path") >= least))
     peak = best.select("start", F.explode("path").alias("id")).join(node.select("id", "peak_score"), "id").groupBy("start").agg(F.max("peak_score").alias("peak"))
     d = best.join(peak, "start")
     return d.select(F.lit("chain").alias("name"), F.col("start").alias("centre"), F.col("path").alias("members"), F.when(F.col("peak") >= 80, "critical").otherwise("high").alias("severity"), (75 + 3 * F.size("path")).cast("int").alias("score"))
 
 
 def shapes(node: DataFrame, edge: DataFrame, fan: int = FAN) -> DataFrame:
+    edge = cut(edge)
     return reduce(DataFrame.unionByName, [stars(edge, fan), funnels(edge, fan), chains(node, edge), bridges(edge)]).orderBy(F.col("score").desc(), "name", "centre")
 
 

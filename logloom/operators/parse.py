@@ -16,6 +16,8 @@ RFC5424 = r"^1 (?P<ts>\S+) (?P<host>\S+) (?P<app>\S+) (?P<procid>\S+) (?P<msgid>
 ISO8601 = r"^(?P<ts>\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(?:\.\d+)?(?:Z|[+-]\d{2}:?\d{2})?) +(?P<rest>.*)$"
 RFC3164 = r"^(?P<ts>[A-Z][a-z]{2} {1,2}\d{1,2} \d{2}:\d{2}:\d{2}) +(?P<rest>.*)$"
 TAG = r"^(?P<tag>[A-Za-z0-9_./\-]+)(?:\[(?P<pid>\d+)\])?: ?(?P<msg>.*)$"
+TAG_HEAD = r"^[A-Za-z0-9_./\-]+(?:\[\d+\])?: ?(?=.*$)"
+PLAIN_TIME = r"^[12]\d{3}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(?:\.\d{1,6})?Z$"
 FACILITIES = "kern user mail daemon auth syslog lpr news uucp cron authpriv ftp ntp audit alert clock local0 local1 local2 local3 local4 local5 local6 local7".split()
 MONTHS = "Jan Feb Mar Apr May Jun Jul Aug Sep Oct Nov Dec".split()
 
@@ -36,7 +38,8 @@ def iso_time(text: Column) -> Column:
     minutes = F.when(F.length(digits) == 5, F.substring(digits, 2, 2).cast("int") * 60 + F.substring(digits, 4, 2).cast("int")).otherwise(0)
     shift = F.when(zone.startswith("-"), -minutes).otherwise(minutes)
     good = text.rlike(shape) & (num(7) < 60) & ((part(4) == "T") | (zone == "") | zone.contains(":"))
-    return F.when(good, F.timestamp_micros(F.unix_micros(at) - shift.cast("bigint") * 60_000_000))
+    # the usual form is read by one cast, which gives null for the same dates and times that aren't any
+    return F.when(text.rlike(to_java(PLAIN_TIME).text), text.try_cast("timestamp")).when(good, F.timestamp_micros(F.unix_micros(at) - shift.cast("bigint") * 60_000_000))
 
 
 def bsd_time(text: Column, now: datetime, zone: str) -> Column:
@@ -64,11 +67,15 @@ def parse(df: DataFrame, text: str = "clean", now: datetime | None = None, zone:
     d = df.withColumn("_pri", F.when(line.startswith("<"), pri).otherwise(F.lit("")))
     d = d.withColumn("_rest", F.when(F.col("_pri") != "", F.substring(line, F.length("_pri") + 3, F.length(line))).otherwise(line)).withColumn("_n", F.col("_pri").try_cast("int"))
     rest = F.col("_rest")
-    kind = F.when(rest.startswith("1 ") & rest.rlike(r5424.text), "rfc5424").when(rest.rlike(iso.text), "iso8601").when(rest.rlike(r3164.text), "rfc3164").otherwise("raw")
+    # one match a format: its time isn't empty, and what follows the time and blanks is the rest
+    d = d.withColumn("_five", rest.startswith("1 ") & rest.rlike(r5424.text))
+    d = d.withColumn("_iso", F.when(F.col("_five"), "").otherwise(_get(rest, iso, "ts")))
+    d = d.withColumn("_bsd", F.when(F.col("_five") | (F.col("_iso") != ""), "").otherwise(_get(rest, r3164, "ts")))
+    kind = F.when(F.col("_five"), "rfc5424").when(F.col("_iso") != "", "iso8601").when(F.col("_bsd") != "", "rfc3164").otherwise("raw")
     d = d.withColumn("_kind", kind)
     k = F.col("_kind")
-    d = d.withColumn("_ts", F.when(k == "rfc5424", _get(rest, r5424, "ts")).when(k == "iso8601", _get(rest, iso, "ts")).when(k == "rfc3164", _get(rest, r3164, "ts")).otherwise(""))
-    d = d.withColumn("_body", F.when(k == "iso8601", _get(rest, iso, "rest")).when(k == "rfc3164", _get(rest, r3164, "rest")).otherwise(rest))
+    d = d.withColumn("_ts", F.when(k == "rfc5424", _get(rest, r5424, "ts")).otherwise(F.concat("_iso", "_bsd")))
+    d = d.withColumn("_body", F.when(k.isin("iso8601", "rfc3164"), F.ltrim(F.substring(rest, F.length("_ts") + 1, F.length(rest)))).otherwise(rest))
     body = F.col("_body")
     first = F.substring_index(body, " ", 1)
     # "app[pid]: text" without a host; a line with a time needs a blank to be split at all
@@ -76,13 +83,15 @@ def parse(df: DataFrame, text: str = "clean", now: datetime | None = None, zone:
     d = d.withColumn("_split", (k == "raw") | body.contains(" ")).withColumn("_nohost", no_host)
     d = d.withColumn("_tail", F.when(F.col("_nohost"), body).otherwise(F.substring(body, F.length(first) + 2, F.length(body))))
     tail = F.col("_tail")
-    d = d.withColumn("_tagged", F.col("_split") & tail.rlike(tag.text))
+    d = d.withColumn("_head", F.when(F.col("_split"), F.regexp_extract(tail, to_java(TAG_HEAD).text, 0)).otherwise(""))
+    head = F.col("_head")
+    d = d.withColumn("_tagged", head != "")
     dash = lambda c: F.when(c == "-", "").otherwise(c)
     five = k == "rfc5424"
     host = F.when(five, dash(_get(rest, r5424, "host"))).when(F.col("_split") & ~F.col("_nohost"), first).otherwise("")
-    process = F.when(five, dash(_get(rest, r5424, "app"))).when(F.col("_tagged"), _get(tail, tag, "tag")).otherwise("")
-    pid = F.when(five, _get(rest, r5424, "procid")).when(F.col("_tagged"), _get(tail, tag, "pid")).otherwise("")
-    message = F.when(five, _get(rest, r5424, "msg")).when(F.col("_tagged"), _get(tail, tag, "msg")).when(F.col("_split"), tail).otherwise(body)
+    process = F.when(five, dash(_get(rest, r5424, "app"))).when(F.col("_tagged"), F.substring_index(F.substring_index(head, ":", 1), "[", 1)).otherwise("")
+    pid = F.when(five, _get(rest, r5424, "procid")).when(head.contains("["), F.substring_index(F.substring_index(head, "]", 1), "[", -1)).otherwise("")
+    message = F.when(five, _get(rest, r5424, "msg")).when(F.col("_tagged"), F.substring(tail, F.length(head) + 1, F.length(tail))).when(F.col("_split"), tail).otherwise(body)
     good = F.col("_n") <= 191
     # columns of their own: fields of a struct would be inlined into every use
     env = {
@@ -93,4 +102,4 @@ def parse(df: DataFrame, text: str = "clean", now: datetime | None = None, zone:
         "host": host, "process": process, "pid": F.coalesce(F.when(F.col("_pid").rlike(r"\A[+-]?\d+\z"), F.col("_pid").try_cast("int")), F.lit(0)), "message": message,
     }
     d = d.withColumn("_pid", pid)
-    return d.withColumns({f"env_{name}": c for name, c in env.items()}).drop("_pri", "_rest", "_n", "_kind", "_ts", "_body", "_split", "_nohost", "_tail", "_tagged", "_pid")
+    return d.withColumns({f"env_{name}": c for name, c in env.items()}).drop("_pri", "_rest", "_n", "_five", "_iso", "_bsd", "_kind", "_ts", "_body", "_split", "_nohost", "_tail", "_head", "_tagged", "_pid")

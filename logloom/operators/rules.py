@@ -76,7 +76,8 @@ RULES: tuple[Rule, ...] = (
 
 def folded(text: Column) -> Column:
     """Lower case for literals; the two letters outside ASCII that fold into it count as their ASCII forms."""
-    return F.translate(F.lower(text), "ſK", "sk")
+    low = F.lower(text)
+    return F.when(F.octet_length(text) == F.char_length(text), low).otherwise(F.translate(low, "ſK", "sk"))
 
 
 def process_in(process: Column, names) -> Column:
@@ -95,8 +96,9 @@ def condition(rule: Rule, message: Column, low: Column, process: Column) -> Colu
 
 def matches(rules, message: Column, low: Column, process: Column) -> Column:
     """The numbers of the rules that match, in order."""
-    each = [F.when(condition(r, message, low, process), F.lit(i)) for i, r in enumerate(rules)]
-    return F.filter(F.array(*each), lambda x: x.isNotNull())
+    each = [F.when(condition(r, message, low, process), F.lit(i)).otherwise(-1) for i, r in enumerate(rules)]
+    # compiled, which a filter with a lambda isn't, nor all that it rests on
+    return F.array_remove(F.array(*each), -1) if each else F.array().cast("array<int>")
 
 
 def capture(rules, name: str, message: Column, verdict: Column) -> Column:

@@ -29,14 +29,17 @@ class Options:
     canaries: Canaries | None = None
     sigma: Sequence[SigmaRule] = ()
     correlator: C.Config | None = field(default_factory=C.Config)
+    columns: Sequence[str] | None = None  # of the events; the others are not computed
 
 
 def to_events(lines: DataFrame, options: Options | None = None) -> DataFrame:
     """Events of rows with ``seq, raw`` (text or bytes); a projection without a shuffle."""
     o = options or Options()
+    # HotSpot compiles no method of more bytes: the fused projection would be interpreted for every line, unfused it is split
+    lines.sparkSession.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
     lines = lines.withColumn("raw", F.col("raw").cast("string"))
     d = parse(sanitise(lines, "raw", o.max_line), "clean", o.now, o.zone)
-    return enrich(d, o.canaries, o.sigma, o.now, keep_raw=o.keep_raw)
+    return enrich(d, o.canaries, o.sigma, o.now, keep_raw=o.keep_raw, columns=o.columns)
 
 
 def with_incidents(events: DataFrame, options: Options | None = None) -> DataFrame:

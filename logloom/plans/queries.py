@@ -11,6 +11,7 @@ from datetime import datetime, timezone
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from logloom.checkpoint import cut
 from logloom.functions import ip, lang, text
 from logloom.operators import anomaly, buffer, chunk, correlate, fleet, graph, privacy, respond, retrieve, windows
 from logloom.operators.canary import Canaries
@@ -50,14 +51,22 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 _plans: dict[tuple, DataFrame] = {}
 
 
-def events(spark: SparkSession, sf_dir: str, canaries: Canaries | None = None) -> DataFrame:
-    """The enriched events; the analysed plan (not its rows) is kept for a session, since queries share it."""
-    key = (spark.sparkContext.applicationId, id(spark), sf_dir, canaries is None)
+def events(spark: SparkSession, sf_dir: str, columns: str = "", canaries: Canaries | None = None) -> DataFrame:
+    """The enriched events, with the columns named (default: all); the analysed plan (not its rows) is kept for a session, since queries share it."""
+    key = (spark.sparkContext.applicationId, id(spark), sf_dir, columns, canaries is None)
     if key not in _plans:
-        _plans[key] = to_events(lines(spark, sf_dir), Options(now=NOW, canaries=canaries))
+        _plans[key] = to_events(lines(spark, sf_dir), Options(now=NOW, canaries=canaries, columns=columns.split() or None))
     return _plans[key]
 
 
+#: What the operators of graphs, anomalies, windows and responses read of an event.
+GRAPH = "timestamp score severity rule outcome source_ip host user process fields"
+ANOMALY = "timestamp ingested_at score rule category process user source_ip"
+WINDOW = "seq timestamp ingested_at raw_sha256 severity score host process message source_ip source_port dest_ip dest_port user outcome rule category mitre tags"
+RESPOND = "seq source_ip score rule"
+INCIDENT = "seq raw_sha256 ingested_at timestamp host facility source_ip source_port user rule category outcome"
+
+
 def _list(c: str) -> F.Column:
     return F.array_join(c, ",").alias(c)
 
@@ -68,12 +77,12 @@ def parse_envelope(spark, d):
 
 
 def rule_verdict(spark, d):
-    e = events(spark, d)
+    e = events(spark, d, "seq rule category score severity outcome source_ip dest_ip source_port dest_port user tags raw_sha256")
     return e.select("seq", "rule", "category", F.col("score").cast("bigint").alias("score"), "severity", "outcome", "source_ip", "dest_ip", F.col("source_port").cast("bigint").alias("source_port"), F.col("dest_port").cast("bigint").alias("dest_port"), "user", F.size("tags").cast("bigint").alias("n_tags"), "raw_sha256")
 
 
 def severity_histogram(spark, d):
-    return events(spark, d).groupBy("severity", "category").agg(F.count("*").alias("n"), F.sum("score").alias("total"))
+    return events(spark, d, "severity category score").groupBy("severity", "category").agg(F.count("*").alias("n"), F.sum("score").alias("total"))
 
 
 def ip_scope(spark, d):
@@ -94,11 +103,11 @@ def fingerprint_dedupe(spark, d):
 
 
 def sigma_filter(spark, d):
-    return events(spark, d).where(to_column(SIGMA, event_field)).select("seq", "rule", "user")
+    return events(spark, d, "seq rule user message dest_port").where(to_column(SIGMA, event_field)).select("seq", "rule", "user")
 
 
 def canary_hits(spark, d):
-    e = events(spark, d, CANARIES).where("category = 'deception'")
+    e = events(spark, d, "seq rule score outcome category fields", CANARIES).where("category = 'deception'")
     return e.select("seq", "rule", F.col("score").cast("bigint").alias("score"), "outcome", F.col("fields")["honeytoken"].alias("tokens"), F.col("fields")["honeytoken_field"].alias("seen_in"), F.col("fields")["trigger_rule"].alias("trigger_rule"))
 
 
@@ -114,28 +123,28 @@ def incidents(spark, d):
 
 
 def event_feed(spark, d):
-    e = buffer.with_pos(events(spark, d))
+    e = buffer.with_pos(events(spark, d, "seq process rule score message"))
     return buffer.feed(e, 50, min_score=38, search="USER1").select("seq", "rule", F.col("score").cast("bigint").alias("score"))
 
 
 def feed_summary(spark, d):
-    return buffer.summary(events(spark, d))
+    return buffer.summary(events(spark, d, "severity category process rule sanitized"))
 
 
 def top_sources(spark, d):
-    return buffer.top_sources(buffer.with_pos(events(spark, d)))
+    return buffer.top_sources(buffer.with_pos(events(spark, d, "seq process rule source_ip")))
 
 
 def triage_top(spark, d):
-    return buffer.triage(buffer.with_pos(events(spark, d)), 25, 40).select("seq", F.col("score").cast("bigint").alias("score"), "severity")
+    return buffer.triage(buffer.with_pos(events(spark, d, "seq process rule timestamp score severity")), 25, 40).select("seq", F.col("score").cast("bigint").alias("score"), "severity")
 
 
 def log_windows(spark, d):
-    return windows.counts(events(spark, d)).select("actor", F.unix_micros("bucket").alias("bucket_us"), "events", F.col("peak_score").cast("bigint").alias("peak_score"), "incidents")
+    return windows.counts(events(spark, d, "source_ip host process rule score timestamp ingested_at")).select("actor", F.unix_micros("bucket").alias("bucket_us"), "events", F.col("peak_score").cast("bigint").alias("peak_score"), "incidents")
 
 
 def window_documents(spark, d):
-    return windows.documents(events(spark, d), 1440).select("doc_id", "title", F.length("text").cast("bigint").alias("n_chars"), F.col("metadata")["rules"].alias("rules"))
+    return windows.documents(events(spark, d, WINDOW), 1440).select("doc_id", "title", F.length("text").cast("bigint").alias("n_chars"), F.col("metadata")["rules"].alias("rules"))
 
 
 def anomaly_scores(spark, d):
@@ -150,12 +159,12 @@ def anomaly_report(spark, d):
 
 
 def graph_nodes(spark, d):
-    n = graph.nodes(events(spark, d))
+    n = graph.nodes(events(spark, d, GRAPH))
     return n.select("id", "kind", "events", F.col("peak_score").cast("bigint").alias("peak_score"), "peak_severity", F.unix_micros("first_seen").alias("first_us"), F.unix_micros("last_seen").alias("last_us"))
 
 
 def graph_edges(spark, d):
-    e = graph.edges(events(spark, d))
+    e = graph.edges(events(spark, d, GRAPH))
     return e.select("src", "dst", "kind", F.col("count").alias("n"), F.col("peak_score").cast("bigint").alias("peak_score"), "grants_access", F.unix_micros("first_seen").alias("first_us"), F.unix_micros("last_seen").alias("last_us"))
 
 
@@ -166,23 +175,23 @@ def graph_shapes(spark, d):
 
 
 def graph_chains(spark, d):
-    e = events(spark, d)
+    e = events(spark, d, GRAPH)
     return graph.chains(graph.nodes(e), graph.edges(e)).select("centre", F.size("members").cast("bigint").alias("n"), "severity", F.col("score").cast("bigint").alias("score"))
 
 
 def blast_radius(spark, d):
-    e = events(spark, d)
+    e = events(spark, d, GRAPH)
     return graph.blast_radius(graph.nodes(e), graph.edges(e), "source_ip:203.0.113.3").select("id", F.col("hops").cast("bigint").alias("hops"))
 
 
 def reachable(spark, d):
     """What access leads to, without regard to time."""
-    e = events(spark, d)
+    e = events(spark, d, GRAPH)
     return graph.blast_radius(graph.nodes(e), graph.edges(e), "source_ip:203.0.113.3", respect_time=False).select("id", F.col("hops").cast("bigint").alias("hops"))
 
 
 def graph_components(spark, d):
-    e = events(spark, d).where("outcome = 'failure'")
+    e = events(spark, d, GRAPH).where("outcome = 'failure'")
     return graph.components(graph.nodes(e), graph.edges(e))
 
 
@@ -230,7 +239,7 @@ def pii_mask(spark, d):
 
 
 def block_decision(spark, d):
-    c = respond.decide(events(spark, d), allowlist=["203.0.113.0/30", "bad"], min_score=38)
+    c = respond.decide(events(spark, d, RESPOND), allowlist=["203.0.113.0/30", "bad"], min_score=38)
     return c.select("seq", "source_ip", "allowed", "reason")
 
 
@@ -291,7 +300,7 @@ def rule_catalog(spark, d):
     """Every rule on lines of its own: the verdict of a sample in each event's place."""
     e = _read(spark, d, "events").select(F.col("event_id").alias("seq"), F.element_at(F.array(*[F.struct(F.lit(p).alias("p"), F.lit(m).alias("m")) for p, m in SAMPLES]), (F.col("event_id") % len(SAMPLES) + 1).cast("int")).alias("s"))
     raw = e.select("seq", F.concat(F.lit("2024-01-05T06:07:08Z host1 "), F.col("s.p"), F.lit(": "), F.col("s.m")).alias("raw"))
-    return to_events(raw, Options(now=NOW)).select("seq", "rule", "category", "outcome")
+    return to_events(raw, Options(now=NOW, columns=("seq", "rule", "category", "outcome"))).select("seq", "rule", "category", "outcome")
 
 
 def ip6_scope(spark, d):
@@ -300,18 +309,18 @@ def ip6_scope(spark, d):
 
 
 def event_signals(spark, d):
-    s = buffer.signals(buffer.with_pos(events(spark, d)))
+    s = buffer.signals(buffer.with_pos(events(spark, d, "seq process rule score severity source_ip sanitized")))
     return s.select("event_count", "critical", "high", "warning", "notice", "info", F.col("peak.score").cast("bigint").alias("peak_score"), F.col("peak.rule").alias("peak_rule"), "incidents", "sources", "sanitised")
 
 
 def event_lookup(spark, d):
-    e = events(spark, d)
+    e = events(spark, d, "seq rule raw_sha256")
     return buffer.lookup(e, e.where("rule = 'new_user_created'")).select("seq", "rule", "raw_sha256")
 
 
 def event_news(spark, d):
     """What is new after a first reading that had the failures."""
-    e = events(spark, d)
+    e = events(spark, d, "seq rule outcome raw_sha256")
     return buffer.new_events(e, e.where("outcome = 'failure'")).select("seq", "rule")
 
 
@@ -335,7 +344,7 @@ def language_mix(spark, d):
 
 
 def ingest_stats(spark, d):
-    return run_stats(events(spark, d, CANARIES))
+    return run_stats(events(spark, d, "process rule category sanitized parse_ok", CANARIES))
 
 
 QUERIES = (rule_verdict, parse_envelope, severity_histogram, ip_scope, sanitise_flags, fingerprint_dedupe, sigma_filter, canary_hits, failure_sliding_count, incidents, event_feed, feed_summary, top_sources, triage_top, log_windows, window_documents,
