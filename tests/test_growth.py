@@ -54,6 +54,23 @@ def test_times_and_tags_of_odd_lines(spark):
     assert [(r.env_process, r.env_pid, r.env_message) for r in p] == [("app", 7, " two"), ("", 0, "app[]: x"), ("a/b.c-d", 0, ""), ("", 0, "app[7] x"), ("", 0, "app: a\nb")]
 
 
+def test_anomalies_read_the_events_once(spark):
+    e = ssh(spark).cache()
+    seen, made = counted(e)
+    found = anomaly.surprises(anomaly.tally(seen, NOW), min_bits=1.0)
+    got = sorted(map(str, found.drop("bh").collect()))
+    assert made.value == e.count() and got
+    base, win = anomaly.split(e, NOW)
+    assert sorted(map(str, anomaly.anomalies(base, win, min_bits=1.0).select(*found.drop("bh").columns).collect())) == got
+
+
+def test_reports_read_the_events_twice(spark):
+    e = ssh(spark).cache()
+    seen, made = counted(e)
+    out, facts = anomaly.report(seen, NOW, min_bits=1.0)
+    assert out.collect() and made.value <= 2 * e.count() and facts["baseline_events"] == e.count() - anomaly.split(e, NOW)[1].count()
+
+
 def test_rounds_over_a_graph_read_its_edges_once(spark):
     n = 6
     edge = spark.createDataFrame([(f"user:{i}", f"user:{i + 1}", "escalated_to", True, NOW, NOW) for i in range(n)] + [("source_ip:a", "user:0", "auth_success", True, NOW, NOW), (f"user:{n}", "file:/x", "accessed", True, NOW, NOW)], "src string, dst string, kind string, grants_access boolean, first_seen timestamp, last_seen timestamp")
