@@ -168,7 +168,7 @@ def graph_edges(spark, d):
 
 
 def graph_shapes(spark, d):
-    e = graph.edges(events(spark, d))
+    e = cut(graph.edges(events(spark, d, GRAPH)).select("src", "dst", "kind", "grants_access"))  # of which three shapes are made
     s = graph.stars(e).unionByName(graph.funnels(e, 1)).unionByName(graph.bridges(e.withColumn("dst", F.regexp_replace("dst", r"\d$", ""))))
     return s.select("name", "centre", F.size("members").cast("bigint").alias("n"), "severity", F.col("score").cast("bigint").alias("score"))
 
