@@ -9,15 +9,18 @@ Arrow batches with the state of one window, so it is long, not large.
 
 from __future__ import annotations
 
+from bisect import insort
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from datetime import timedelta
+from heapq import heapify, heappop, heappush, nsmallest
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from logloom.checkpoint import cut
 from logloom.functions import ip
 from logloom.sources.schema import CORRELATOR, complete, is_incident, severity_for
 
@@ -45,34 +48,46 @@ class Config:
 
 @dataclass
 class State:
-    failures: list = field(default_factory=list)  # times in microseconds
+    failures: list = field(default_factory=list)  # a heap of times in microseconds
     users: set = field(default_factory=set)
     alerted: int | None = None
     total: int = 0
 
+    def __post_init__(self):
+        heapify(self.failures)
+        self.first = nsmallest(LISTED, self.users)  # by name, kept in order
 
-def listed(users: set) -> str:
-    names = sorted(users)
-    return ", ".join(names[:LISTED] + ([f"+{len(names) - LISTED} more"] if len(names) > LISTED else []))
+    def add(self, user: str) -> None:
+        if user not in self.users:
+            self.users.add(user)
+            if len(self.first) < LISTED or user < self.first[-1]:
+                insort(self.first, user)
+                del self.first[LISTED:]
+
+    def listed(self) -> str:
+        return ", ".join(self.first + ([f"+{len(self.users) - LISTED} more"] if len(self.users) > LISTED else []))
 
 
 def step(s: State, at: int, failure: bool, user: str, cfg: Config) -> tuple | None:
     """(kind, failures in the window, users, distinct users, failures ever) of the incident that this event makes, if any."""
-    recent = [t for t in s.failures if t > at - cfg.window_s * 1_000_000]
+    # whatever the order of times, only the oldest leave: no failure is looked at again while it stays
+    while s.failures and s.failures[0] <= at - cfg.window_s * 1_000_000:
+        heappop(s.failures)
     if failure:
         s.total += 1
         if user:
-            s.users.add(user)
+            s.add(user)
         # the event itself counts as soon as the window has a length
-        s.failures = recent + ([at] if cfg.window_s > 0 else [])
+        if cfg.window_s > 0:
+            heappush(s.failures, at)
         if len(s.failures) >= cfg.threshold and (s.alerted is None or at - s.alerted >= cfg.cooldown_s * 1_000_000):
             s.alerted = at
-            return "brute", len(s.failures), listed(s.users), len(s.users), s.total
+            return "brute", len(s.failures), s.listed(), len(s.users), s.total
         return None
-    s.failures = recent
-    if len(recent) >= cfg.reached:
+    recent = len(s.failures)
+    if recent >= cfg.reached:
         s.failures = []
-        return "compromise", len(recent), listed(s.users), len(s.users), s.total
+        return "compromise", recent, s.listed(), len(s.users), s.total
     return None
 
 
@@ -84,12 +99,19 @@ def success() -> Column:
     return (F.col("outcome") == "success") & (F.col("category") == "authentication")
 
 
+def changes() -> Column:
+    """Whether an event can change the state of its source."""
+    return (F.col("source_ip") != "") & (failure() | success()) & F.col("timestamp").isNotNull()
+
+
 def duration(seconds: int) -> str:
     """As 1h2m3s, where leading zero parts are left out."""
     h, m, s = seconds // 3600, seconds // 60 % 60, seconds % 60
     return (f"{h}h" if h else "") + (f"{m}m" if h or m else "") + f"{s}s"
 
 
+#: What an incident takes from its trigger.
+CARRIED = ("seq", "raw_sha256", "ingested_at", "timestamp", "host", "facility", "source_ip", "source_port", "user", "rule")
 FOUND = "seq long, kind string, failures int, users string, n_users int, total int"
 
 
@@ -114,8 +136,11 @@ def scan(cfg: Config):
 def triggers(events: DataFrame, cfg: Config | None = None) -> DataFrame:
     """One row for each incident: the sequence number of its event and what the window held."""
     cfg = cfg or Config()
-    small = events.where((F.col("source_ip") != "") & (failure() | success()) & F.col("timestamp").isNotNull())
-    small = small.select("source_ip", "seq", F.unix_micros("timestamp").alias("at"), failure().alias("fail"), "user")
+    small = events.where(changes())
+    return _walk(small.select("source_ip", "seq", F.unix_micros("timestamp").alias("at"), failure().alias("fail"), "user"), cfg)
+
+
+def _walk(small: DataFrame, cfg: Config) -> DataFrame:
     # sources without enough failures can't raise anything: they end at a map-side combined count
     enough = small.where("fail").groupBy("source_ip").agg(F.count("*").alias("n")).where(F.col("n") >= min(cfg.threshold, cfg.reached)).select("source_ip")
     small = small.join(enough, "source_ip", "left_semi")
@@ -125,7 +150,10 @@ def triggers(events: DataFrame, cfg: Config | None = None) -> DataFrame:
 def incidents(events: DataFrame, cfg: Config | None = None) -> DataFrame:
     """Synthetic events, one for each trigger, numbered in the order of their sequence numbers."""
     cfg = cfg or Config()
-    return build(events.join(triggers(events, cfg), "seq"), cfg)
+    # what can change state is written once: the counts, the walk and the triggers' columns come from it
+    small = cut(events.where(changes()).select(*CARRIED, F.unix_micros("timestamp").alias("at"), failure().alias("fail")))
+    found = _walk(small.select("source_ip", "seq", "at", "fail", "user"), cfg)
+    return build(small.drop("at", "fail").join(found, "seq"), cfg)
 
 
 def build(hits: DataFrame, cfg: Config) -> DataFrame:
@@ -162,8 +190,17 @@ def at_least(events: DataFrame, score: int) -> DataFrame:
 def sliding_failures(events: DataFrame, key: str = "source_ip", time: str = "timestamp", window_s: int = WINDOW_S, cond: Column | None = None) -> DataFrame:
     """Events with ``n_failures``: failures of the key within the window that ends at the event, its lower bound excluded. Native."""
     cond = failure() if cond is None else cond
+    span = window_s * 1_000_000
     at = F.unix_micros(F.col(time).cast("timestamp"))
-    w = W.partitionBy(key).orderBy(at).rangeBetween(-window_s * 1_000_000 + 1, 0)
-    return events.withColumn("n_failures", F.sum(F.when(cond, 1).otherwise(0)).over(w).cast("bigint"))
+    d = events.withColumns({"_at": at, "_fail": F.when(cond, 1).otherwise(0)})
+    # a failure counts from its time on and comes once more when it expires, a window later: a
+    # running sum within windows of fixed bounds, which hold all that a row of theirs can see
+    end = F.when((F.col("_fail") == 1) & F.col("_at").isNotNull(), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    d = d.withColumn("_end", F.explode(end)).withColumn("_at", F.col("_at") + F.col("_end") * F.lit(span))
+    d = d.withColumn("_slice", F.col("_at") - F.pmod("_at", F.lit(span)))
+    part = W.partitionBy(key, "_slice")
+    change = F.when(F.col("_end") == 1, -1).otherwise(F.col("_fail"))
+    n = F.sum(change).over(part.orderBy("_at").rangeBetween(W.unboundedPreceding, 0)) + F.sum("_end").over(part)
+    return d.withColumn("n_failures", n.cast("bigint")).where("_end = 0").drop("_at", "_fail", "_end", "_slice")
 
 

@@ -17,7 +17,7 @@ from logloom.operators import anomaly, buffer, chunk, correlate, fleet, graph, p
 from logloom.operators.canary import Canaries
 from logloom.operators.parse import parse
 from logloom.operators.sigma import event_field, to_column
-from logloom.plans.ingest import Options, run_stats, to_events, with_incidents
+from logloom.plans.ingest import Options, run_stats, to_events
 from logloom.sources.lines import clip
 
 NOW = datetime(2024, 1, 30, 23, 59, 59, tzinfo=timezone.utc)
@@ -118,7 +118,8 @@ def failure_sliding_count(spark, d):
 
 
 def incidents(spark, d):
-    e = with_incidents(events(spark, d), Options(correlator=CORRELATOR)).where("rule LIKE 'correlated%'")
+    # no rule of an event has such a name, so that the events themselves needn't be read again
+    e = correlate.incidents(events(spark, d, INCIDENT), CORRELATOR).where("rule LIKE 'correlated%'")
     return e.select("seq", "rule", F.col("score").cast("bigint").alias("score"), "source_ip", "user", F.coalesce(F.col("fields")["failure_count"], F.col("fields")["preceding_failures"]).cast("bigint").alias("failures"), F.col("fields")["total_failures_seen"].cast("bigint").alias("total"), F.col("fields")["targeted_users"].alias("users"))
 
 

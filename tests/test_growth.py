@@ -80,3 +80,43 @@ def test_rounds_over_a_graph_read_its_edges_once(spark):
         b, edges = counted(edge)
         assert run(a, b).count() > 0
         assert nodes.value == node.count() and edges.value == edge.count()
+
+
+def test_incidents_read_the_events_once(spark):
+    e = ssh(spark).cache()
+    cfg = correlate.Config(threshold=3, window_s=86400 * 9, cooldown_s=3600)
+    seen, made = counted(e)
+    got = correlate.incidents(seen, cfg)
+    assert got.count() > 0 and made.value == e.count()
+    assert sorted(r.seq for r in got.collect()) == sorted(r.seq for r in correlate.triggers(e, cfg).collect())
+
+
+def test_a_long_window_is_not_walked_for_every_event():
+    rng, cfg = random.Random(1), correlate.Config(threshold=10**9, window_s=3600, cooldown_s=60)
+    # times that jump back, against the definition
+    s, kept = correlate.State(), []
+    for _ in range(500):
+        at = rng.randrange(9000) * 1_000_000
+        kept = [t for t in kept if t > at - 3_600_000_000] + [at]
+        correlate.step(s, at, True, f"u{rng.randrange(40)}", cfg)
+        assert sorted(s.failures) == sorted(kept)
+    names = sorted(s.users)
+    assert s.listed() == ", ".join(names[:10] + [f"+{len(names) - 10} more"])
+    s, began = correlate.State(), time.process_time()
+    for i in range(30_000):
+        correlate.step(s, i, True, f"user{i}", cfg)
+    assert len(s.failures) == 30_000 and time.process_time() - began < 3
+
+
+def test_sliding_failures_are_a_running_sum(spark):
+    rng = random.Random(2)
+    at = [None if i % 50 == 0 else datetime(2024, 1, 1) + timedelta(seconds=10 * rng.randrange(60)) for i in range(400)]
+    rows = [(i, i % 3 or None, t, rng.random() < 0.4) for i, t in enumerate(at)]
+    d = spark.createDataFrame(rows, "i int, k int, t timestamp, f boolean")
+    out = correlate.sliding_failures(d, "k", "t", 60, F.col("f"))
+    assert out.columns == ["i", "k", "t", "f", "n_failures"] and out.count() == len(rows)
+    inside = lambda a, b: (a is None and b is None) or (a is not None and b is not None and timedelta(0) <= b - a < timedelta(seconds=60))
+    want = {i: sum(f2 and k2 == k and inside(t2, t) for _, k2, t2, f2 in rows) for i, k, t, _ in rows}
+    assert {r.i: r.n_failures for r in out.collect()} == want
+    assert "PRECEDING" not in out._jdf.queryExecution().optimizedPlan().toString().upper().replace("UNBOUNDEDPRECEDING", "")
+    assert "-59999999" not in out._jdf.queryExecution().optimizedPlan().toString()
