@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from logloom.checkpoint import cut
 from logloom.functions import ip
 
 AUDIT = "at timestamp, source_ip string, score int, rule string, allowed boolean, reason string"
@@ -48,7 +49,8 @@ def decide(candidates: DataFrame, mode: str = "dry-run", allowlist: list[str] =
     """Adds ``allowed, reason``: the first check that fails, or the candidate's own reason.
 
     In enforce mode the hour's ``per_hour`` blocks, ``recent`` of which are spent, go to the
-    first candidates that pass all other checks.
+    first candidates that pass all other checks; the candidates are written once, with the
+    columns that they have, so that what makes them doesn't run again for the ranking.
     """
     a = F.col(address)
     scope = ip.scope(a)
@@ -56,6 +58,7 @@ def decide(candidates: DataFrame, mode: str = "dry-run", allowlist: list[str] =
            .when(scope.isin("multicast", "unspecified") | a.rlike(r"\A(?:22[4-9]|23[0-9])\.") | F.lower(a).startswith("ff"), NO_HOST).when(F.col("score") < min_score, LOW))
     d = candidates.withColumn("_why", why)
     if mode == "enforce":
+        d = cut(d)
         # only what passed is ranked; a top-k of the hour's blocks, not a sort of all
         passed = d.where("_why IS NULL").select(order).orderBy(order).limit(max(0, per_hour - recent)).withColumn("_in", F.lit(True))
         d = d.join(F.broadcast(passed), order, "left").withColumn("_why", F.when(F.col("_why").isNull() & F.col("_in").isNull(), RATE).otherwise(F.col("_why"))).drop("_in")

@@ -244,7 +244,7 @@ def block_decision(spark, d):
 
 
 def block_plan(spark, d):
-    c = respond.decide(events(spark, d), mode="enforce", min_score=38, recent=12)
+    c = respond.decide(events(spark, d, RESPOND), mode="enforce", min_score=38, recent=12)
     done = spark.createDataFrame([("203.0.113.1",)], "source_ip string")
     return respond.plan_run(c, done, min_score=38).select("seq", "source_ip")
 

@@ -120,3 +120,10 @@ def test_sliding_failures_are_a_running_sum(spark):
     assert {r.i: r.n_failures for r in out.collect()} == want
     assert "PRECEDING" not in out._jdf.queryExecution().optimizedPlan().toString().upper().replace("UNBOUNDEDPRECEDING", "")
     assert "-59999999" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_ranking_of_blocks_reads_the_candidates_once(spark):
+    c = spark.createDataFrame([(i, f"203.0.113.{i % 9 + 1}", 95, "r") for i in range(50)], "seq long, source_ip string, score int, rule string")
+    seen, made = counted(c)
+    d = respond.decide(seen, mode="enforce", recent=12)
+    assert d.where("allowed").count() == 8 and made.value == 50
