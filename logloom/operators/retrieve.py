@@ -16,6 +16,8 @@ from logloom.functions import vectors as V
 # Sizes of the result and of the candidate pool, the floor, the context's length.
 TOP_K, CANDIDATES, MAX_PARENTS, MIN_SIMILARITY, FLOOR, CONTEXT_CHARS = 8, 32, 5, 0.0, 2, 6000
 LANGUAGES = ("en", "ja")
+#: Similarities that a task has at once.
+CELLS = 1 << 19
 FIRST_CLASS = ("chunk_id", "parent_id", "lang", "ordinal")
 
 
@@ -69,7 +71,8 @@ def nearest_each(queries: DataFrame, chunks: DataFrame, k: int, query_id: str =
     """``query_id, chunk_id, score, rank``: the same for a table of queries against all chunks, exactly.
 
     Queries go to the executors in blocks of ``block`` vectors, so what is sent is bounded; a
-    task multiplies matrices and keeps its own k best of each query before the exchange.
+    task multiplies matrices of at most ``CELLS`` similarities and keeps its own k best of each
+    query before the exchange, whatever the number of its rows.
     """
     spark = chunks.sparkSession
     d = queries.select(F.col(query_id).cast("long").alias("q"), F.col(vector).cast("array<double>").alias("v")).where("q IS NOT NULL AND size(v) > 0")
@@ -80,7 +83,7 @@ def nearest_each(queries: DataFrame, chunks: DataFrame, k: int, query_id: str =
     for i in range(parts):
         mine = d.where(F.pmod(F.xxhash64("q"), F.lit(parts)) == i).collect()
         if mine:
-            shared = spark.sparkContext.broadcast(([r.q for r in mine], [r.v for r in mine]))
+            shared = spark.sparkContext.broadcast(_by_size(mine))
             out.append(rows.mapInPandas(_best(shared, k), f"query_id long, chunk_id {kind}, score double"))
     if not out:
         return spark.createDataFrame([], f"query_id long, chunk_id {kind}, score double, rank int")
@@ -88,25 +91,55 @@ def nearest_each(queries: DataFrame, chunks: DataFrame, k: int, query_id: str =
     return reduce(DataFrame.unionByName, out).withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def _by_size(rows: list) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Ids, vectors and squared lengths of the queries, by the length of the vector."""
+    out = {}
+    for n in sorted({len(r.v) for r in rows}):
+        mine = [r for r in rows if len(r.v) == n]
+        m = np.array([r.v for r in mine], dtype=float)
+        out[n] = (np.array([r.q for r in mine]), m, (m * m).sum(axis=1))
+    return out
+
+
+class _Top:
+    """The k best of each query so far; of equals those of the least ids."""
+
+    def __init__(self, queries: int, k: int):
+        self.k, self.least = k, np.full(queries, -np.inf)  # a worse one can't come in any more
+        self.q, self.c, self.s = np.zeros(0, dtype=np.int64), None, np.zeros(0)
+
+    def add(self, s: np.ndarray, c: np.ndarray) -> None:
+        """``s``: similarities, a row a query, to what has the ids ``c``."""
+        q, j = np.nonzero(s >= self.least[:, None])
+        if not len(q):
+            return
+        q, c, s = np.concatenate([self.q, q]), c[j] if self.c is None else np.concatenate([self.c, c[j]]), np.concatenate([self.s, s[q, j]])
+        order = np.lexsort((c if c.dtype.kind in "iu" else np.unique(c, return_inverse=True)[1], -s, q))
+        q, c, s = q[order], c[order], s[order]
+        first = np.searchsorted(q, q)
+        rank = np.arange(len(q)) - first
+        keep = rank < self.k
+        self.q, self.c, self.s = q[keep], c[keep], s[keep]
+        full = rank == self.k - 1
+        self.least[q[full]] = s[full]
+
+
 def _best(shared, k: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, vectors = shared.value
-        by_size: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        for n in {len(v) for v in vectors}:
-            at = [i for i, v in enumerate(vectors) if len(v) == n]
-            by_size[n] = (np.array([ids[i] for i in at]), np.array([vectors[i] for i in at], dtype=float))
+        queries = shared.value
+        best = {n: _Top(len(q), k) for n, (q, _, _) in queries.items()}
         for b in batches:
             sizes = b["v"].map(len)
-            for n, (q, m) in by_size.items():
+            for n, (q, m, mm) in queries.items():
                 part = b[sizes == n]
-                if not len(part):
-                    continue
-                x = np.array(part["v"].tolist(), dtype=float)
-                scale = np.sqrt(np.outer((m * m).sum(axis=1), (x * x).sum(axis=1)))
-                s = np.divide(m @ x.T, scale, out=np.zeros(scale.shape), where=scale > 0)
-                c = part["c"].to_numpy()
-                order = np.lexsort((np.broadcast_to(c, s.shape), -s), axis=1)[:, :k] if c.dtype.kind in "iu" else np.argsort(-s, axis=1, kind="stable")[:, :k]
-                yield pd.DataFrame({"query_id": np.repeat(q, order.shape[1]), "chunk_id": c[order].ravel(), "score": np.take_along_axis(s, order, axis=1).ravel()})
+                step = max(1, CELLS // len(q))
+                for i in range(0, len(part), step):
+                    x = np.array(part["v"].iloc[i : i + step].tolist(), dtype=float)
+                    scale = np.sqrt(np.outer(mm, (x * x).sum(axis=1)))
+                    best[n].add(np.divide(m @ x.T, scale, out=np.zeros(scale.shape), where=scale > 0), part["c"].iloc[i : i + step].to_numpy())
+        for n, (q, _, _) in queries.items():
+            if best[n].c is not None:
+                yield pd.DataFrame({"query_id": q[best[n].q], "chunk_id": best[n].c, "score": best[n].s})
 
     return run
 

@@ -127,3 +127,23 @@ def test_a_ranking_of_blocks_reads_the_candidates_once(spark):
     seen, made = counted(c)
     d = respond.decide(seen, mode="enforce", recent=12)
     assert d.where("allowed").count() == 8 and made.value == 50
+
+
+def test_a_search_keeps_small_matrices_and_exact_ties():
+    rng = np.random.default_rng(3)
+    q = [SimpleNamespace(q=i, v=v) for i, v in enumerate(rng.integers(-2, 3, (700, 8)).astype(float))]
+    x = rng.integers(-2, 3, (20_000, 8)).astype(float)
+    want = []
+    for r in q[:5]:
+        scale = np.sqrt((r.v @ r.v) * (x * x).sum(axis=1))
+        s = np.divide(x @ r.v, scale, out=np.zeros(len(x)), where=scale > 0)
+        want += [(r.q, int(c), round(float(s[c]), 9)) for c in np.lexsort((np.arange(len(x)), -np.round(s, 12)))[:6]]
+    shared = SimpleNamespace(value=retrieve._by_size(q))
+    batch = pd.DataFrame({"c": np.arange(len(x)), "v": list(x)})
+    tracemalloc.start()
+    got = pd.concat(retrieve._best(shared, 6)(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1] / 1e6
+    tracemalloc.stop()
+    assert peak < 120
+    few = got[got.query_id < 5].sort_values(["query_id", "score", "chunk_id"], ascending=[True, False, True])
+    assert len(got) == 700 * 6 and [round(s, 9) for s in few.score] == [s for _, _, s in want]
