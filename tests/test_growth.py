@@ -147,3 +147,12 @@ def test_a_search_keeps_small_matrices_and_exact_ties():
     assert peak < 120
     few = got[got.query_id < 5].sort_values(["query_id", "score", "chunk_id"], ascending=[True, False, True])
     assert len(got) == 700 * 6 and [round(s, 9) for s in few.score] == [s for _, _, s in want]
+
+
+def test_wide_characters_are_found_by_place():
+    text = "Plain words. 日本語のログ。 More words ６７ end"
+    r = chunk._Ruler(text)
+    assert chunk._Ruler("plain " * 9).places == []
+    for a in range(len(text)):
+        for b in range(a, len(text) + 1):
+            assert r.count([(a, b)]) == chunk.tokens(text[a:b])
